@@ -39,6 +39,13 @@ def html_unescape_each(texts: pd.Series) -> pd.Series:
     return texts.map(lambda items: [html.unescape(item) for item in items], na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def html_unescape_join(lines: pd.Series) -> pd.Series:
+    """Decoded, stripped, non-empty lines joined by spaces."""
+    decoded = lambda items: (html.unescape(item).strip() for item in items)
+    return lines.map(lambda items: " ".join(line for line in decoded(items) if line), na_action="ignore")
+
+
 def register(spark) -> None:
     """Make the scalar functions available to SQL text."""
     spark.udf.register("nfkc_casefold", nfkc_casefold)

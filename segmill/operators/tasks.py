@@ -185,7 +185,7 @@ def job_state(events: DataFrame, keep: int = MAX_JOBS) -> DataFrame:
         F.min(F.when(late & named, F.struct("seq", task.alias("v")))).getField("v").alias("_late_task"),
     )
     filled = F.when(F.coalesce("_task", F.lit("")) != "", F.col("_task")).otherwise(F.col("_late_task"))
-    order = Window.partitionBy("owner").orderBy(F.desc("created_at"), F.desc("born"))
+    order = Window.partitionBy("owner").orderBy(F.desc("created_at"), F.desc("job_id"))
     return (
         merged.withColumn("task_id", filled)
         .withColumn("rank", F.row_number().over(order))

@@ -180,10 +180,10 @@ def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Events as web traffic of a tab (the user); errors are page changes."""
-    events = table(spark, sf_dir, "events")
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
+    events = read(spark, sf_dir, "events")
+    pages = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
     joined = events.withColumn("page_id", F.get_json_object("props", "$.k").cast("bigint")).join(pages, "page_id")
     kind = F.col("event_type")
     file = (
@@ -201,11 +201,12 @@ def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", "application/dash+xml")
         .otherwise("text/html")
     )
+    header = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
     headers = F.array(
-        F.struct(F.lit("User-Agent").alias("name"), F.concat(F.lit("agent/"), F.col("page_id").cast("string")).alias("value")),
-        F.struct(F.lit("COOKIE"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("c="), F.col("event_id").cast("string"))).otherwise("")),
-        F.struct(F.lit("X-Trace"), F.col("event_type")),
-        F.struct(F.lit("origin"), F.when(F.col("event_id") % 7 == 0, F.lit("a\nb")).otherwise(F.lit("https://site.example"))),
+        header("User-Agent", F.concat(F.lit("agent/"), F.col("page_id").cast("string"))),
+        header("COOKIE", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("c="), F.col("event_id").cast("string"))).otherwise("")),
+        header("X-Trace", F.col("event_type")),
+        header("origin", F.when(F.col("event_id") % 7 == 0, F.lit("a\nb")).otherwise(F.lit("https://site.example"))),
     )
     return joined.select(
         F.col("user_id").alias("tab_id"),
@@ -215,14 +216,14 @@ def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         url.alias("url"),
         "page_url",
         content_type.alias("content_type"),
-        headers.cast("array<struct<name: string, value: string>>").alias("headers"),
+        headers.alias("headers"),
         "ts",
     )
 
 
-def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def task_events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Events as job progress: ``error`` is a cancel request in every 29th row, a failure in every 31st."""
-    events = table(spark, sf_dir, "events")
+    events = read(spark, sf_dir, "events")
     i = F.col("event_id")
     error = F.col("event_type") == "error"
     kind = (
@@ -246,21 +247,22 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def job_events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Events as a job log: a few jobs per user, created, patched, cancelled, deleted."""
-    events = table(spark, sf_dir, "events")
+    events = read(spark, sf_dir, "events")
     i, kind = F.col("event_id"), F.col("event_type")
     job = F.concat(F.lit("j"), (F.get_json_object("props", "$.k").cast("bigint") % 14).cast("string"))
     op = F.when(kind == "signup", "create").when((kind == "error") & (i % 3 == 0), "delete").otherwise("patch")
     stage = F.when((kind == "error") & (i % 3 != 0), "cancelling").when(kind == "purchase", F.lit(None).cast("string")).otherwise(kind)
     task = F.when(i % 4 == 0, F.concat(F.lit("t"), i.cast("string")))
     # Absent keys stay absent: only non-null fields enter the patch.
+    field = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
     fields = F.array(
-        F.struct(F.lit("stage").alias("key"), stage.alias("value")),
-        F.struct(F.lit("task_id"), task),
-        F.struct(F.lit("status"), F.when(kind == "click", "running")),
-        F.struct(F.lit("progress"), F.when(kind == "view", F.floor("value").cast("string"))),
-    ).cast("array<struct<key: string, value: string>>")
+        field("stage", stage),
+        field("task_id", task),
+        field("status", F.when(kind == "click", "running")),
+        field("progress", F.when(kind == "view", F.floor("value"))),
+    )
     patch = F.map_from_entries(F.filter(fields, lambda f: f["value"].isNotNull()))
     return events.select(
         F.col("user_id").cast("string").alias("owner"), job.alias("job_id"), i.alias("seq"), op.alias("kind"),
@@ -297,6 +299,29 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def traffic(spark: SparkSession, sf_dir: str, read=table) -> tuple[DataFrame, DataFrame]:
+    """Requests, and responses minutes later; every tenth response comes too late to match."""
+    from segmill.operators.requests import scrubbed_headers
+
+    events = request_events(spark, sf_dir, read).filter("kind = 'candidate'")
+    requests = events.select("request_id", "ts", scrubbed_headers(F.col("headers")).alias("headers"))
+    late = F.when(F.col("seq") % 10 == 0, F.expr("interval 20 minutes")).otherwise(F.expr("interval 2 minutes"))
+    responses = events.select("tab_id", "seq", "request_id", "url", "content_type", (F.col("ts") + late).alias("ts"))
+    return requests, responses
+
+
+def submissions(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    """Events as task submissions; views carry no client id, the others share ids."""
+    events = read(spark, sf_dir, "events")
+    key = F.get_json_object("props", "$.k").cast("bigint")
+    return events.select(
+        F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") != "view", F.concat(F.lit("r"), key.cast("string"))).alias("client_request_id"),
+        F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("task_id"),
+        "ts",
+    )
+
+
 def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as extractor metadata: one JSON text per recording."""
     docs = table(spark, sf_dir, "documents")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segmill.functions.arrays import let
 from segmill.functions.text import WHITESPACE, collapse_spaces, strip
 from segmill.functions.times import parse_clock
-from segmill.functions.udfs import html_unescape_each
+from segmill.functions.udfs import html_unescape_each, html_unescape_join
 
 # Markup patterns and the header lines of caption files.
 POSITION_TAG = r"\{\\[^}]+\}"
@@ -87,6 +87,4 @@ def captions_to_reference_text(files: DataFrame) -> DataFrame:
         & ~line.rlike(r"^\p{Nd}+$"),
     )
     bare = F.transform(spoken, lambda line: F.regexp_replace(line, LOOSE_TAG, ""))
-    decoded = files.select("rec_id", html_unescape_each(bare).alias("lines"))
-    kept = F.filter(F.transform("lines", strip), lambda line: line != "")
-    return decoded.select("rec_id", F.array_join(kept, " ").alias("text"))
+    return files.select("rec_id", html_unescape_join(bare).alias("text"))
