@@ -532,8 +532,14 @@ def _word(words: str, text: str = "text") -> str:
 
 FEATURES = rf"""{LATIN},
 fseg AS (SELECT rec_id, seg_idx, start_ms, end_ms, text, replace(lower(text), 'ß', 'ss') AS folded FROM v_segments),
-hits AS (SELECT rec_id, seg_idx, sum({_count(_doubled('folded'), rf"'{NW}' || regexp_escape(regexp_replace(lower(value), '({NW})', '\1\1', 'g')) || '{NW}'")}) AS n
-  FROM fseg JOIN latin_terms USING (rec_id) WHERE contains(folded, lower(value)) GROUP BY ALL),
+segwords AS (SELECT rec_id, seg_idx, unnest(regexp_extract_all(folded, '[\p{{L}}\p{{N}}_]+')) AS word FROM fseg),
+plain_terms AS (SELECT rec_id, lower(value) AS value FROM latin_terms WHERE regexp_full_match(value, '[A-Za-z0-9]+')),
+symbol_terms AS (SELECT rec_id, lower(value) AS value FROM latin_terms WHERE NOT regexp_full_match(value, '[A-Za-z0-9]+')),
+hits AS (SELECT rec_id, seg_idx, sum(n) AS n FROM (
+  SELECT segwords.rec_id, seg_idx, count(*) AS n FROM segwords JOIN plain_terms ON plain_terms.rec_id = segwords.rec_id AND value = word GROUP BY ALL
+  UNION ALL
+  SELECT rec_id, seg_idx, {_count(_doubled('folded'), rf"'{NW}' || regexp_escape(regexp_replace(value, '({NW})', '\1\1', 'g')) || '{NW}'")}
+  FROM fseg JOIN symbol_terms USING (rec_id) WHERE contains(folded, value)) GROUP BY ALL),
 segvals AS (SELECT rec_id, seg_idx AS field, text AS value FROM fseg),
 {_token_rows('seg_tokens', 31, '.+#-', 'segvals', at_sign=False)},
 known AS (SELECT DISTINCT rec_id, regexp_replace(lower(value), '^[-_/.]+|[-_/.]+$', '', 'g') AS k FROM latin_terms),
@@ -608,9 +614,10 @@ judged AS (SELECT rec_id, seg_idx, start_ms, end_ms, text, revised, o <> '' AND
     AND NOT coalesce(rep, false) AND length(rc) / greatest(1, length(oc))::DOUBLE BETWEEN 0.55 AND 1.70 AND coalesce(lp >= -1.0, true)
     AND (len(onum) = 0 OR onum = rnum) AND (rh > oh OR (rh >= oh AND (rs < os OR ru < ou))) AS accepted
   FROM (SELECT *, {_per_text('o', 'o')}, {_per_text('r', 'r')},
-    list_bool_or(list_transform(range(1, len(ws) - 3), lambda k: regexp_full_match(ws[k+1], '[\p{{L}}\p{{N}}_-]{{2,}}')
-      AND ws[k+1] = ws[k+2] AND ws[k+1] = ws[k+3] AND regexp_matches(ws[k], '(^|{NW})' || ws[k+1] || '$')
-      AND regexp_matches(ws[k+4], '^' || ws[k+1] || '($|{NW})'))) AS rep FROM rp))"""
+    list_bool_or(list_transform(range(1, len(ws) - 3), lambda k: ws[k+1] = ws[k+2] AND ws[k+1] = ws[k+3]
+      AND length(ws[k+1]) >= 2 AND regexp_full_match(ws[k+1], '[\p{{L}}\p{{N}}_-]+') AND ends_with(ws[k], ws[k+1]) AND starts_with(ws[k+4], ws[k+1])
+      AND NOT regexp_matches(left(right(' ' || ws[k], length(ws[k+1]) + 1), 1), '[\p{{L}}\p{{N}}_]')
+      AND NOT regexp_matches(substr(ws[k+4] || ' ', length(ws[k+1]) + 1, 1), '[\p{{L}}\p{{N}}_]'))) AS rep FROM rp))"""
 SQL["accept_revision"] = with_views("v_segments") + f""", {JUDGED}
 SELECT rec_id, CAST(seg_idx AS BIGINT) AS seg_idx, accepted FROM judged"""
 SQL["merge_revisions"] = with_views("v_segments") + f""", {JUDGED}
@@ -710,7 +717,7 @@ SELECT task_id, coalesce(arg_max(status, seq), 'pending') AS status, arg_max(st,
 FROM (SELECT *, CASE WHEN kind = 'update' THEN 'running' WHEN kind = 'cancel' THEN CASE WHEN done < seq THEN 'running' END ELSE kind END AS status,
     CASE WHEN kind = 'update' THEN least(100.0, greatest(0.0, round_even(progress, 1))) WHEN kind = 'completed' THEN 100.0 END AS percent FROM since)
 GROUP BY task_id"""
-SQL["task_state_stream"] = SQL["task_state"]
+SQL["task_state_stream"] = f"SELECT task_id, status, stage, progress, downloaded_bytes FROM ({SQL['task_state'].strip()})"
 
 SQL["job_state"] = """
 WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS owner, 'j' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 14) AS job_id, event_id AS seq,

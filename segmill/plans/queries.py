@@ -594,7 +594,7 @@ def stream_candidates_stream(spark, d):
 
 
 def task_state_stream(spark, d):
-    return runs.task_run(spark, d).select(*TASK_COLUMNS)
+    return runs.task_run(spark, d).select(*TASK_COLUMNS[:-1])
 
 
 def job_state_stream(spark, d):

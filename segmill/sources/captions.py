@@ -87,4 +87,6 @@ def captions_to_reference_text(files: DataFrame) -> DataFrame:
         & ~line.rlike(r"^\p{Nd}+$"),
     )
     bare = F.transform(spoken, lambda line: F.regexp_replace(line, LOOSE_TAG, ""))
-    return files.select("rec_id", html_unescape_join(bare).alias("text"))
+    # One generated row per file keeps the array a plain column for the Arrow function.
+    listed = files.select("rec_id", F.explode(F.array(bare)).alias("lines"))
+    return listed.select("rec_id", html_unescape_join("lines").alias("text"))

@@ -18,9 +18,16 @@ from segmill.operators.requests import MAX_CANDIDATES, media_priority
 from segmill.schemas import TASK_COUNTERS
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# State lifetime for continuous runs. With a lifetime the engine keeps scheduling batches to
+# expire state, so a run over what is available now is started without one.
 STATE_TTL_MS = 24 * 3_600_000
 
 
+def _time_mode(ttl_ms: int | None) -> str:
+    return "None" if ttl_ms is None else "ProcessingTime"
+
+
 def _missing(value) -> bool:
     return value is None or value != value
 
@@ -32,7 +39,7 @@ class CandidateTracker(StatefulProcessor):
     are taken frame by frame.
     """
 
-    def __init__(self, keep: int, ttl_ms: int):
+    def __init__(self, keep: int, ttl_ms: int | None):
         self.keep, self.ttl_ms = keep, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -90,7 +97,7 @@ class CandidateTracker(StatefulProcessor):
         pass
 
 
-def track_stream_candidates(events: DataFrame, keep: int = MAX_CANDIDATES, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+def track_stream_candidates(events: DataFrame, keep: int = MAX_CANDIDATES, ttl_ms: int | None = None) -> DataFrame:
     """Stream form of ``stream_candidates`` and ``rank_stream_candidates``."""
     filled = F.size("headers") > 0
     narrow = events.select(
@@ -108,7 +115,7 @@ def track_stream_candidates(events: DataFrame, keep: int = MAX_CANDIDATES, ttl_m
         outputStructType="tab_id bigint, last_seq bigint, rank int, url string, content_type string, "
         "headers string, priority int, detected_ms bigint",
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeMode=_time_mode(ttl_ms),
     )
 
 
@@ -146,7 +153,7 @@ def _advance_task(state: dict, kind: str, stage, progress, details: dict) -> Non
 class TaskTracker(StatefulProcessor):
     FIELDS = ("status", "stage", "progress", *TASK_COUNTERS, "cancel_asked", "last_seq")
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -177,7 +184,7 @@ class TaskTracker(StatefulProcessor):
         pass
 
 
-def task_state_stream(events: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+def task_state_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stream form of ``task_state``; a row not after the task's last one is late and dropped."""
     columns = ["task_id", F.col("seq").cast("bigint").alias("seq"), "kind", "stage", "progress"]
     for name in TASK_COUNTERS:
@@ -189,7 +196,7 @@ def task_state_stream(events: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFram
         statefulProcessor=TaskTracker(ttl_ms),
         outputStructType=f"task_id string, {shown}, last_seq bigint",
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeMode=_time_mode(ttl_ms),
     )
 
 
@@ -213,7 +220,7 @@ class JobTracker(StatefulProcessor):
     FIELDS = ("alive", "created_at", "status", "stage", "progress", "task_id", "last_seq")
     PATCH = ("status", "stage", "progress", "task_id")
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -243,7 +250,7 @@ class JobTracker(StatefulProcessor):
         pass
 
 
-def job_state_stream(events: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+def job_state_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stream form of ``job_state`` without the retention, which is a batch top-k over the sink."""
     columns = ["owner", "job_id", F.col("seq").cast("bigint").alias("seq"), "kind", F.col("created_at").cast("bigint").alias("created_at")]
     for name in JobTracker.PATCH:
@@ -253,5 +260,5 @@ def job_state_stream(events: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame
         statefulProcessor=JobTracker(ttl_ms),
         outputStructType=f"owner string, job_id string, {JOB_STATE}",
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeMode=_time_mode(ttl_ms),
     )
