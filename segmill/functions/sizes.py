@@ -31,3 +31,14 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows
     if size["n"] <= max_rows and (size["b"] or 0) <= max_bytes:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use the whole cluster for heavy per-row work on an input that comes in too few splits.
+
+    A large input has many splits and passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from segmill.functions.text import WHITESPACE
 from segmill.functions.udfs import casefold
 from segmill.operators.ordered import CHUNK_ROWS, Running, position_chunk, with_running
+from segmill.session import checkpointed
 
 # Neighbour tolerance, token pattern, safe language codes, track limits.
 ROLLING_GAP_MS = 50
@@ -87,10 +88,12 @@ def dedupe_rolling_captions(cues: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Da
     A cue equal to the one before only prolongs the last kept cue; a cue that
     continues it keeps the words not yet said.
     """
-    acted = caption_actions(cues, chunk_rows)
     kept = F.col("new_text") != ""
+    acted = caption_actions(cues, chunk_rows).filter(kept | (F.col("action") == "same"))
+    # Tokens are compared once; the grouping below reads the outcome twice.
+    acted = checkpointed(acted.select("rec_id", "cue_idx", "start_ms", "end_ms", "action", "new_text"))
     grouped = with_running(
-        acted.filter(kept | (F.col("action") == "same")),
+        acted,
         ["rec_id"],
         ["cue_idx"],
         position_chunk("cue_idx", chunk_rows),

@@ -89,7 +89,7 @@ def validate_ranges(df: DataFrame) -> DataFrame:
     """Check ``range_start_ms, range_end_ms`` against ``duration_ms``; bad rows get a reason, none is dropped."""
     start, end, duration = F.col("range_start_ms"), F.col("range_end_ms"), F.col("duration_ms")
     known = F.coalesce(duration > 0, F.lit(False))
-    clamped = F.when(known, F.least(end, duration)).otherwise(end)
+    clamped = F.when(known & end.isNotNull(), F.least(end, duration)).otherwise(end)
     reason = (
         F.when(start.isNull() & end.isNull(), F.lit(None).cast("string"))
         .when(start.isNull() | end.isNull(), F.lit("incomplete"))

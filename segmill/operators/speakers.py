@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from segmill.operators.ordered import Running, with_running
+from segmill.session import checkpointed
 
 # Tolerance of the nearest-turn rule and the limits of the tiny-speaker rule.
 NEAREST_MS = 1_000
@@ -205,7 +206,8 @@ def collapse_tiny_speakers(
     applies = (F.col("speakers") > 2) & (F.col("n_stable") > 0) & (F.col("n_stable") < F.col("speakers"))
     marked = marked.select("rec_id", "speaker", "stable", applies.alias("applies"))
 
-    flagged = turns.join(marked, ["rec_id", "speaker"])
+    # Read by every candidate rule below.
+    flagged = checkpointed(turns.join(marked, ["rec_id", "speaker"]))
     is_tiny = F.col("applies") & ~F.col("stable")
     keys = ["rec_id", F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1")]
     tiny = flagged.filter(is_tiny).select(*keys).distinct()

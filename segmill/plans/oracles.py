@@ -165,7 +165,7 @@ SELECT rec_id, CAST(seg_idx AS BIGINT) AS seg_idx, greatest(start_ms, 30000) AS
 FROM v_segments WHERE end_ms > 30000 AND start_ms < 90000 AND least(end_ms, 90000) > greatest(start_ms, 30000)"""
 
 _RANGES = """
-v_ranges AS (SELECT *, CASE WHEN duration_ms > 0 THEN least(e, duration_ms) ELSE e END AS clamped FROM (
+v_ranges AS (SELECT *, CASE WHEN duration_ms > 0 AND e IS NOT NULL THEN least(e, duration_ms) ELSE e END AS clamped FROM (
   SELECT CAST(doc_id AS VARCHAR) AS rec_id, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 11 * 1000 - 1000 END AS s,
     CASE WHEN doc_id % 6 <> 0 THEN doc_id % 11 * 1000 + doc_id % 13 * 300 END AS e,
     CASE WHEN doc_id % 7 <> 0 THEN n_chars * 3 END AS duration_ms FROM documents)),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "segmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,9 +41,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="segmill-checkpoint-", dir=os.environ.get("TMPDIR"))
 
 
-def checkpointed(df):
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint(eager=True)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and go on from the written table.
+
+    For results that several later steps read: they neither repeat the work nor
+    depend on executors that held it.
+    """
+    place = f"{checkpoint_folder(df.sparkSession)}/segmill-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

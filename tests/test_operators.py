@@ -38,7 +38,7 @@ def test_caption_reading_and_rolling(spark):
     assert [s.text for s in segs] == ["Run Docker", "and Kubernetes", "in cloud", "Done & checked"]
     assert segs[0].start_ms == 0 and segs[0].end_ms == 2000
     text = src.captions_to_reference_text(files).first().text
-    assert text == "Run Docker Run Docker and Kubernetes and Kubernetes in cloud Done & checked no no"
+    assert text == "Run Docker Run Docker and Kubernetes and Kubernetes in cloud Done & checked\u200b no no"
 
 
 def test_track_choice(spark):
