@@ -186,7 +186,9 @@ class TaskTracker(StatefulProcessor):
 
 def task_state_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stream form of ``task_state``; a row not after the task's last one is late and dropped."""
-    columns = ["task_id", F.col("seq").cast("bigint").alias("seq"), "kind", "stage", "progress"]
+    # Rounded by the engine, as in the batch form; Python rounds decimal ties differently.
+    rounded = F.bround("progress", 1)
+    columns = ["task_id", F.col("seq").cast("bigint").alias("seq"), "kind", "stage", rounded.alias("progress")]
     for name in TASK_COUNTERS:
         has = F.coalesce(F.map_contains_key("details", name), F.lit(False))
         value = F.try_element_at("details", F.lit(name))
