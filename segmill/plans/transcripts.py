@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from segmill.operators.captions import dedupe_rolling_captions
 from segmill.operators.segments import build_blocks, clean_segments, clip_to_ranges
 from segmill.operators.speakers import assign_speakers, collapse_tiny_speakers, renumber_speakers, speaker_label
+from segmill.session import checkpointed
 from segmill.sources.captions import read_captions
 
 
@@ -28,4 +29,5 @@ def blocks_of(segments: DataFrame, turns: DataFrame | None = None, paragraphize:
     else:
         heard = collapse_tiny_speakers(renumber_speakers(turns))
         labelled = assign_speakers(segments, heard).withColumn("speaker", speaker_label(F.col("speaker")))
-    return build_blocks(clean_segments(labelled), paragraphize)
+    # The block rules read their input more than once; the joins above run once.
+    return build_blocks(checkpointed(clean_segments(labelled)), paragraphize)
