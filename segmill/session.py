@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +26,19 @@ def build_session(app: str = "segmill", master: str | None = None, **conf: str)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """This application's folder for intermediate tables.
 
-    Only a local session (tests, laptop) that names none falls back to a
-    temporary folder of this machine; on a cluster that is an error.
+    It lies below ``spark.checkpoint.dir``; a session that names none uses its
+    warehouse, which all executors share as well. Spark's file system removes
+    it when the application ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="segmill-checkpoint-", dir=os.environ.get("TMPDIR"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/segmill-{spark.sparkContext.applicationId}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -47,6 +47,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     For results that several later steps read: they neither repeat the work nor
     depend on executors that held it.
     """
-    place = f"{checkpoint_folder(df.sparkSession)}/segmill-{uuid.uuid4().hex}"
+    place = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
