@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from segmill.llm.bpe import decode, encode
 from segmill.llm.hilbert import hilbert_shards, text_rank
 from segmill.llm.packing import pack, token_pieces
+from segmill.llm.quality import judge
 from segmill.llm.tables import table, vocabulary
 from segmill.session import checkpointed
 
@@ -54,8 +55,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; the rules are learned from ``labels``."""
+    judged, _ = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_bpe": op6_bpe,
+    "op8_quality_rules": op8_quality_rules,
 }
