@@ -9,6 +9,7 @@ from segmill.llm.bpe import decode, encode
 from segmill.llm.hilbert import hilbert_shards, text_rank
 from segmill.llm.packing import pack, token_pieces
 from segmill.llm.quality import judge
+from segmill.llm.simhash import near_duplicates
 from segmill.llm.tables import table, vocabulary
 from segmill.session import checkpointed
 
@@ -20,6 +21,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, ["doc_id", "start", "ids_crc32"])
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 runs along a Hilbert curve over language, source and length."""
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -64,6 +71,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_simhash": op4_simhash,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
