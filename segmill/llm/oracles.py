@@ -2,4 +2,41 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+#: The digests and sizes of all conversations; 20 is the length of the four control strings.
+_CHAT = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, len(regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '<_\1', 'g'), '\[(/?INST\])', '[_\1', 'g'))
+        + len(role) + 20 AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+#: Every pair of one label by brute force; components by walking the links.
+_EMBEDDINGS = """
+WITH RECURSIVE good AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), walk AS (
+    SELECT vec_id AS start, vec_id AS reached FROM embeddings
+    UNION SELECT w.start, l.b FROM walk w JOIN links l ON w.reached = l.a
+), parts AS (SELECT start, min(reached) AS component_id FROM walk GROUP BY start),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN parts ON start = vec_id LEFT JOIN counts ON a = vec_id
+"""
+
+SQL: dict[str, str] = {"op9_chat": _CHAT, "op10_embeddings": _EMBEDDINGS}

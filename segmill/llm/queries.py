@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.llm.bpe import decode, encode
+from segmill.llm.chat import format_turns, read_back
+from segmill.llm.embeddings import near_duplicates as near_embeddings
 from segmill.llm.hilbert import hilbert_shards, text_rank
 from segmill.llm.packing import pack, token_pieces
 from segmill.llm.quality import judge
@@ -69,10 +71,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of control strings, formatted and read back."""
+    ranks = vocabulary(spark, "byte_bpe_50k.tiktoken")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    told = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    return read_back(format_turns(rows.unionByName(told), ranks), ranks)
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_simhash": op4_simhash,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_chat": op9_chat,
+    "op10_embeddings": op10_embeddings,
 }
