@@ -10,6 +10,7 @@ from segmill.llm.chat import format_turns, read_back
 from segmill.llm.embeddings import near_duplicates as near_embeddings
 from segmill.llm.hilbert import hilbert_shards, text_rank
 from segmill.llm.packing import pack, token_pieces
+from segmill.llm.pii import PATTERNS, find, span_list
 from segmill.llm.quality import judge
 from segmill.llm.simhash import near_duplicates
 from segmill.llm.tables import table, vocabulary
@@ -64,6 +65,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data, and of the terms that give it away, in every document."""
+    found = find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{x}')")).cast("long").alias(f"n_{x}") for x in PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document; the rules are learned from ``labels``."""
     judged, _ = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -90,6 +98,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_bpe": op6_bpe,
+    "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat": op9_chat,
     "op10_embeddings": op10_embeddings,
