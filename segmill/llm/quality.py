@@ -225,3 +225,12 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rules = learn_rules(counted.join(marks, "doc_id"), "_bad")
     failed = base_failed()
     return counted.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)}), rules
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that neither the base rule nor a learned one rejects, with all their columns."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    counted = checkpointed(text_statistics(whole, "_text").drop("_text"))
+    marks = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 0).alias("_bad"))
+    rules = learn_rules(counted.join(marks, F.col("_doc") == F.col("doc_id")).select("_bad", *STATISTICS), "_bad")
+    return counted.where(~base_failed() & verdict(rules)).select("_row.*")

@@ -9,11 +9,13 @@ from segmill.llm.bpe import decode, encode
 from segmill.llm.chat import format_turns, read_back
 from segmill.llm.embeddings import near_duplicates as near_embeddings
 from segmill.llm.hilbert import hilbert_shards, text_rank
+from segmill.llm.lm_scoring import cross_entropy_difference
 from segmill.llm.packing import pack, token_pieces
 from segmill.llm.pii import PATTERNS, find, span_list
 from segmill.llm.quality import judge
 from segmill.llm.simhash import near_duplicates
 from segmill.llm.tables import table, vocabulary
+from segmill.llm.urls import host_and_path, judge_urls, listed, split_rule
 from segmill.session import checkpointed
 
 
@@ -24,6 +26,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, ["doc_id", "start", "ids_crc32"])
 
 
+#: The listed rules of the URL filter: fixed values of its contract.
+URL_RULES = [
+    split_rule("net/", "block"),
+    split_rule("example.net/en/", "allow"),
+    split_rule("example.com/de/", "block"),
+    split_rule("org/fr/", "allow"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; the URLs that a rule judges are the labelled ones."""
+    pages = table(spark, sf_dir, "pages")
+    known = pages.select("url", listed(*host_and_path(F.col("url")), URL_RULES).alias("l")).where("l IS NOT NULL")
+    return judge_urls(pages, known.select("url", "l.verdict"), URL_RULES)
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy of every document under a model of ``benchmark`` less that under a model of all documents."""
+    target = table(spark, sf_dir, "benchmark").select("text")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -95,6 +119,8 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_url_filter": op2_url_filter,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash": op4_simhash,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_bpe": op6_bpe,
