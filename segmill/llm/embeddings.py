@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmill.llm.groups import block_pairs, connected, roots
+from segmill.llm.groups import block_pairs, connected, roots, runs_of
 from segmill.session import checkpointed
 
 TABLES, HASHES = 8, 2
@@ -135,11 +135,16 @@ def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)
 
 
-def _links_in_bucket(threshold: float):
-    def each(rows: pa.Table) -> pa.Table:
+def _links_in_bucket(threshold: float, keys: list[str]):
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, keys):
+            if rows["home"].to_numpy().any() and (found := links_of(rows)).num_rows:
+                yield found
+
+    def links_of(rows: pa.Table) -> pa.RecordBatch:
         point, copies, home, block = (rows[x].to_numpy() for x in ("point", "copies", "home", "_block"))
         table = rows["table"][0].as_py()
-        apart = rows["pair"][0].as_py()["low"] != rows["pair"][0].as_py()["high"]
+        apart = rows["low"][0].as_py() != rows["high"][0].as_py()
         vectors = np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float64).reshape(len(point), -1)
         signed = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.int64).reshape(len(point), TABLES, 1 + HASHES)
         residents, links = np.flatnonzero(home), np.zeros(len(point), np.int64)
@@ -162,7 +167,8 @@ def _links_in_bucket(threshold: float):
         rank[order] = np.arange(len(order))
         root = order[roots(len(point), rank[a], rank[b])[rank]]
         some = np.flatnonzero(links)
-        return pa.table([pa.array(point[some]), pa.array(links[some]), pa.array(point[root[some]])], ["point", "links", "root"])
+        columns = [pa.array(point[some]), pa.array(links[some]), pa.array(point[root[some]])]
+        return pa.RecordBatch.from_arrays(columns, ["point", "links", "root"])
 
     return each
 
@@ -177,8 +183,10 @@ def near_duplicates(
         .agg(F.min("vec_id").alias("point"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("width").alias("width"), F.first("vector").alias("vector"))
     )
     keys = ["label", "width", "table", "bucket"]
-    rows = block_pairs(_bucket_rows(points.drop("class_key")), keys, ["point"], BUCKET_ROWS)
-    found = checkpointed(rows.groupBy(*keys, "pair").applyInArrow(_links_in_bucket(threshold), "point long, links long, root long"))
+    rows = block_pairs(_bucket_rows(points.drop("class_key")), keys, ["point"], BUCKET_ROWS).select("*", "pair.*").drop("pair")
+    keys = [*keys, "low", "high"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    found = checkpointed(rows.mapInArrow(_links_in_bucket(threshold, keys), "point long, links long, root long"))
     links = found.groupBy("point").agg(F.sum("links").alias("links"))
     parts = connected(found.where("point <> root").select("point", "root"), "point", "root")
     named = points.select("class_key", "point", "copies").join(links, "point", "left").join(parts, F.col("point") == F.col("node"), "left")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,24 @@ def block_pairs(rows: DataFrame, keys: list[str], order: list[str], size: int) -
     return sized.withColumn("pair", F.struct(low.alias("low"), high.alias("high"))).drop("_blocks", "_other")
 
 
+def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of at least two rows among batches sorted by ``keys``, one table each."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+        changed = np.zeros(max(0, rows.num_rows - 1), bool)
+        for key in keys:
+            column = rows[key].combine_chunks()
+            changed |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate(([0], np.flatnonzero(changed) + 1))
+        for k in np.flatnonzero(np.diff(bounds) > 1):
+            yield rows.slice(bounds[k], bounds[k + 1] - bounds[k])
+        held = rows.slice(bounds[-1])
+    if held is not None and held.num_rows > 1:
+        yield held
+
+
 def roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0 to ``size - 1`` and links ``(a, b)``, each node's least reachable node."""
     root = np.arange(size)
