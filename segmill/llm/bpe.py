@@ -2,10 +2,11 @@
 
 ``encode`` splits texts into words (the pieces of the vocabulary's pattern) by
 blocks of documents. A block keeps the positions of its words as indices into
-its own list of distinct words; only that list is shuffled, by word, so every
-distinct word of the corpus meets in one place and is encoded there once. Its
-ids return to the block, which puts them back by position. ``decode`` looks ids
-up in the token-byte table.
+its own list of distinct words; only that list is shuffled, dealt to
+``BUCKETS`` by a hash of the word, so all occurrences of a distinct word meet in
+one bucket and are encoded there once. A block's words of one bucket travel as
+one compressed row, and so do their ids, which the block puts back by position.
+``decode`` looks ids up in the token-byte table.
 
 Both halves of a block come from the same rows, read twice. A block's key is a
 hash of its content, and a block that does not get all of its words raises, so
@@ -34,8 +35,9 @@ from segmill.llm.vocabularies import decode as decode_ids
 from segmill.llm.vocabularies import encoding
 
 #: A block of documents ends at so many characters or distinct words.
-BLOCK_CHARS, BLOCK_WORDS = 12_000_000, 250_000
-_SENT = 1 << 16  # words in an Arrow batch
+BLOCK_CHARS, BLOCK_WORDS = 5_000_000, 150_000
+#: Buckets of words; a task holds the distinct words of one bucket at a time.
+BUCKETS = 1024
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -48,16 +50,34 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
 
 
+def _packed(items: list[bytes]) -> bytes:
+    """Byte strings in one compressed row: their number, lengths and contents."""
+    sizes = np.array([len(items), *map(len, items)], "<u4")
+    return zstandard.compress(sizes.tobytes() + b"".join(items), 1)
+
+
+def _unpacked(row: bytes) -> tuple[np.ndarray, bytes]:
+    """The lengths of the byte strings and their contents, joined."""
+    whole = zstandard.decompress(row)
+    count = int(np.frombuffer(whole, "<u4", 1)[0])
+    return np.frombuffer(whole, "<u4", count, 4).astype(np.int64), whole[4 * count + 4 :]
+
+
 class _Block:
     def __init__(self) -> None:
         self.rows, self.counts, self.words, self.codes, self.chars = [], [], [], [], 0
-        self.seen = Lexicon()
+        self.seen, self.hashes = Lexicon(), [np.zeros(0, np.uint64)]
+
+    def buckets(self) -> np.ndarray:
+        """The bucket of each distinct word."""
+        return (np.concatenate(self.hashes) % np.uint64(BUCKETS)).astype(np.int64)
 
     def add(self, keys: list[tuple], texts: list[str], ends: list[bool], open_row: int) -> int:
         """Take some texts; returns the words so far of a row that goes on in the next ones."""
         codes, counts, forms, hashes = pieces(texts)
         numbers, new = self.seen.number(hashes)
         self.words += [forms[k] for k in new]
+        self.hashes.append(hashes[new])
         self.codes.append(numbers[codes])
         for (key,), count, ended in zip(keys, counts.tolist(), ends, strict=True):
             open_row += count
@@ -89,11 +109,13 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
 
 def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches):
-        key = block.key()
-        for at in range(0, len(block.words), _SENT):
-            words = block.words[at : at + _SENT]
-            columns = [pa.array(words), pa.array([key] * len(words)), pa.array(range(at, at + len(words)), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "block", "place"])
+        key, buckets = block.key(), block.buckets()
+        order = np.argsort(buckets, kind="stable")
+        numbers, starts = np.unique(buckets[order], return_index=True)
+        parts = np.split(order, starts[1:]) if len(numbers) else []
+        rows = [_packed([block.words[k].encode("utf-8", "surrogatepass") for k in part]) for part in parts]
+        columns = [pa.array(numbers, pa.int64()), pa.array([key] * len(rows), pa.int64()), pa.array(rows, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "words"])
 
 
 def encode(docs: DataFrame, vocabulary: Broadcast, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,46 +131,52 @@ def encode(docs: DataFrame, vocabulary: Broadcast, doc_id: str = "doc_id", text:
                 pa.array([block.key()]),
                 pa.array([block.rows], pa.list_(arrow_kind)),
                 pa.array([block.counts], pa.list_(pa.int64())),
-                pa.array([len(block.words)]),
+                pa.array([_planes(block.buckets())], pa.binary()),
                 pa.array([_planes(codes)], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "rows", "counts", "words", "codes"])
+            yield pa.RecordBatch.from_arrays(columns, ["block", "rows", "counts", "buckets", "codes"])
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoding(vocabulary.value)
-        for batch in batches:  # in order of the words: equal ones follow each other
-            words = batch.column(0).dictionary_encode()
-            ids = [np.array(known.encode_ordinary(x), "<u4").tobytes() for x in words.dictionary.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(ids, pa.binary()).take(words.indices)], ["block", "place", "ids"]
-            )
+        encoder, now, known = encoding(vocabulary.value), None, {}
+        for batch in batches:  # in order of the buckets
+            out = []
+            for bucket, row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                sizes, whole = _unpacked(row)
+                ends = np.cumsum(sizes).tolist()
+                words = [whole[end - size : end] for end, size in zip(ends, sizes.tolist(), strict=True)]
+                for word in words:
+                    if word not in known:
+                        known[word] = np.array(encoder.encode_ordinary(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()
+                out.append(_packed([known[word] for word in words]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
     def reassemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words["place"].to_numpy(), kind="stable")
-        place = words["place"].to_numpy()[order]
-        keep = np.ones(len(place), bool)
-        keep[1:] = place[1:] != place[:-1]  # an equal block has the same words
-        sizes = np.array([len(x) // 4 for x in words["ids"].to_pylist()], np.int64)
+        parts = dict(zip(words["bucket"].to_pylist(), words["ids"].to_pylist(), strict=True))  # an equal block has the same words
+        unpacked = [_unpacked(parts[k]) for k in sorted(parts)]
+        sizes = np.concatenate([np.zeros(0, np.int64), *[x for x, _ in unpacked]]) // 4
         starts = np.concatenate(([0], np.cumsum(sizes)))
-        flat = np.frombuffer(b"".join(words["ids"].to_pylist()), "<u4")
-        flat, ends = ragged(flat, starts, order[keep])
-        offsets = np.concatenate(([0], ends))
+        flat = np.frombuffer(b"".join(x for _, x in unpacked), "<u4")
         rows, out = [], []
         for block in blocks.to_pylist():
-            if block["words"] != len(offsets) - 1:
+            buckets = _numbers(block["buckets"])
+            if len(buckets) != len(sizes):
                 raise RuntimeError("a block's rows changed between two readings of the input")
-            codes, at = _numbers(block["codes"]), 0
+            place = np.empty(len(buckets), np.int64)  # of each word in order of the buckets
+            place[np.argsort(buckets, kind="stable")] = np.arange(len(buckets))
+            codes, at = place[_numbers(block["codes"])], 0
             for row, count in zip(block["rows"], block["counts"], strict=True):
-                ids = ragged(flat, offsets, codes[at : at + count])[0]
+                ids = ragged(flat, starts, codes[at : at + count])[0]
                 rows.append(row), out.append(ids.astype("<u4").tobytes())
                 at += count
         return pa.table([pa.array(rows, arrow_kind), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     blocks = source.mapInArrow(
-        positions, f"block long, rows array<{kind}>, counts array<long>, words long, codes binary"
+        positions, f"block long, rows array<{kind}>, counts array<long>, buckets binary, codes binary"
     )
-    words = source.mapInArrow(_word_rows, "word string, block long, place int")
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "block long, place int, ids binary")
+    words = source.mapInArrow(_word_rows, "bucket long, block long, words binary").repartition("bucket")
+    encoded = words.sortWithinPartitions("bucket").mapInArrow(merge, "block long, bucket long, ids binary")
     return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, ids binary")
 
 

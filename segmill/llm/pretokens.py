@@ -23,7 +23,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Code points of the pattern's ``\s``: fixed values.
 SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Characters handled at once; a longer text is cut where a piece certainly starts.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _CERTAIN = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 _SCRAMBLE, _ODD = np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95
 
@@ -95,7 +95,7 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndar
 
     Returns the index of each piece's distinct form in order, the number of
     pieces of each text, the distinct forms, and their hashes. Forms are told
-    apart by 64-bit hashes within one call (a million code points or a text).
+    apart by 64-bit hashes within one call (about ``CHUNK`` code points).
     """
     whole = "".join(texts)
     points = code_points(whole)
