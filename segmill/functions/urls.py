@@ -64,3 +64,17 @@ def canonical(url: Column) -> Column:
 def host_matches(host_column: Column, domain: str) -> Column:
     """Host equals ``domain`` or is below it."""
     return (host_column == domain) | host_column.endswith("." + domain)
+
+
+def ipv6_groups(host_column: Column) -> Column:
+    """The eight numbers of a bracketed IPv6 address, null for any other host."""
+    body = F.regexp_extract(host_column, r"^\[([0-9a-f:]*:[0-9a-f:.]*)\]$", 1)
+    last = [F.regexp_extract(body, r"(\d+)\.(\d+)\.(\d+)\.(\d+)$", k).try_cast("int") for k in range(1, 5)]
+    tail = F.concat_ws(":", F.hex(last[0] * 256 + last[1]), F.hex(last[2] * 256 + last[3]))
+    body = F.when(last[0].isNotNull(), F.concat(F.regexp_replace(body, r"[0-9.]+$", ""), tail)).otherwise(body)
+    halves = F.transform(F.split(body, "::"), lambda half: F.array_remove(F.split(half, ":"), ""))
+    right = F.coalesce(F.get(halves, 1), F.array().cast("array<string>"))
+    missing = F.when(F.contains(body, F.lit("::")), F.greatest(F.lit(0), F.lit(8) - F.size(halves[0]) - F.size(right))).otherwise(0)
+    groups = F.concat(halves[0], F.array_repeat(F.lit("0"), missing), right)
+    numbers = F.transform(groups, lambda group: F.conv(group, 16, 10).try_cast("int"))
+    return F.when((body != "") & (F.size(numbers) == 8), numbers)

@@ -171,7 +171,17 @@ def guard_public_url(df: DataFrame, url: str = "url") -> DataFrame:
         | ((a == 203) & (b == 0) & (c == 113))
         | F.exists(octets, lambda part: part > 255)
     )
-    private_v6 = host.rlike(r"^\[(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:db8:.*|::ffff:.*)\]$")
+    groups = urls.ipv6_groups(host)
+    first, second = groups[0], groups[1]
+    # Unspecified, loopback and embedded IPv4; unique local, link-local, multicast, documentation.
+    private_v6 = host.startswith("[") & F.coalesce(
+        (F.forall(F.slice(groups, 1, 5), lambda x: x == 0) & groups[5].isin(0, 0xFFFF))
+        | first.between(0xFC00, 0xFDFF)
+        | first.between(0xFE80, 0xFEBF)
+        | (first >= 0xFF00)
+        | ((first == 0x2001) & (second == 0xDB8)),
+        F.lit(True),
+    )
     reason = (
         F.when(~F.coalesce(urls.is_http(value), F.lit(False)), F.lit("scheme"))
         .when(urls.userinfo(value) != "", F.lit("credentials"))

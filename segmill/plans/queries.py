@@ -611,11 +611,7 @@ def submit_once_stream(spark, d):
     return runs.submit_run(spark, d).select("seq", "client_request_id", "task_id")
 
 
-# --- alignment, search, source choice ---------------------------------------------------------------
-
-
-def align_revision_boundaries(spark, d):
-    return rev.align_revision_boundaries(_revision_pairs(spark, d)).select("rec_id", _long("seg_idx"), "revised")
+# --- revision, search, source choice ---------------------------------------------------------------
 
 
 def revise_transcripts(spark, d):

@@ -173,13 +173,6 @@ def test_revisions(spark):
         ("открой Gethab", "да да да да да GitHub", ["GitHub"], None),
     ]
     assert [r.accepted for r in rev.accept_revision(spark.createDataFrame(rows, schema)).collect()] == [True, False, False, False, False]
-    pairs = [
-        ("один два три четыре пять", "лишние слова ещё и ещё один два три четыре пять"),
-        ("начало один два три четыре", "Начало один два три четыре"),
-        ("a b", "c d"),
-    ]
-    got = rev.align_revision_boundaries(spark.createDataFrame(pairs, "original string, revised string")).collect()
-    assert [r.revised for r in got] == ["один два три четыре пять", "Начало один два три четыре", "c d"]
 
 
 def test_error_rates_and_speedup(spark):
@@ -223,3 +216,13 @@ def test_url_rules(spark):
     assert [r.reason for r in cat.guard_public_url(df).collect()] == ["private_address", "credentials", None, "scheme", "local_name"]
     one = spark.createDataFrame([("HTTPS://Host.Example.:443?q=1#f",)], "url string")
     assert cat.canonicalize_url(one).first().canonical_url == "https://host.example/?q=1"
+
+
+def test_expanded_ipv6_hosts(spark):
+    hosts = {
+        "[::1]": False, "[0:0:0:0:0:0:0:1]": False, "[::127.0.0.1]": False, "[::ffff:10.0.0.1]": False, "[::]": False, "[fd00::1]": False,
+        "[fe80::1]": False, "[ff02::1]": False, "[2001:db8::5]": False, "[2001:4860:4860::8888]": True, "[2001:4860:4860:0:0:0:0:8888]": True,
+        "[64:ff9b::8.8.8.8]": True, "[1:2:3]": False, "8.8.8.8": True, "example.com": True,
+    }
+    rows = spark.createDataFrame([(f"https://{h}/x", ok) for h, ok in hosts.items()], "url string, ok boolean")
+    assert [r.url for r in cat.guard_public_url(rows).collect() if r.public != r.ok] == []
