@@ -1,4 +1,4 @@
-"""The two scalar functions Spark has no built-in for; both work on Arrow batches."""
+"""The scalar functions Spark has no built-in for; both work on Arrow batches."""
 
 from __future__ import annotations
 
@@ -29,6 +29,11 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def casefold_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda items: [None if item is None else item.casefold() for item in items], na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")

@@ -264,57 +264,47 @@ def assign_output_names(
     position: str = "ord",
     existing: DataFrame | None = None,
     chunk_rows: int = CHUNK_ROWS,
-    max_rounds: int = 4,
 ) -> DataFrame:
     """Add ``file_name``: the safe name, with `` (2)``, `` (3)``... for later holders of a taken name.
 
     ``position`` numbers the requests in order. ``existing(directory, file_name)`` are
-    names already on disk. A numbered name may equal another literal one; such
-    holders move on to their next number, and the result is checked to be unique.
+    names already on disk. A holder gets the first free number: neither on disk nor the
+    literal name of another request, which keeps it wherever it comes in the order. Of
+    requests that spell one literal name with different extensions, the first has it.
     """
+    key = [directory, "_stem", ext]
     stemmed = df.withColumn("_stem", safe_name(F.col(name)))
-    taken = _taken_numbers(existing) if existing is not None else None
-    rows = with_running(
-        stemmed,
-        [directory, "_stem", ext],
-        [position],
-        position_chunk(position, chunk_rows),
-        {"_n": Running("sum", F.lit(1))},
+    place = position_chunk(position, chunk_rows)
+    ranked = with_running(stemmed, key, [position], place, {"_rank": Running("sum", F.lit(1))})
+
+    literal = F.concat("_stem", ext).alias("_file")
+    stems = stemmed.groupBy(*key).agg(F.min(position).alias("_first"))
+    spelled = Window.partitionBy(directory, "_file")
+    stems = stems.select(*key, "_first", literal).withColumn("_owner", F.min(F.struct("_first", ext)).over(spelled))
+    held = _numbered_names(stems.select(directory, "_file"), directory, ext).unionByName(
+        stems.filter(F.struct("_first", ext) != F.col("_owner")).select(*key, F.lit(1).cast("bigint").alias("_held"))
     )
-    if taken is not None:
-        held = taken.select(
-            F.col("directory").alias(directory), F.col("stem").alias("_stem"), F.col("ext").alias(ext), "held"
-        )
-        rows = rows.join(held, [directory, "_stem", ext], "left").withColumn(
-            "_n", F.col("_n") + F.coalesce("held", F.lit(0))
-        ).drop("held")
-    named = rows.withColumn("_file", _numbered(F.col("_stem"), F.col("_n"), F.col(ext)))
-    for _ in range(max_rounds):
-        # Clashes are rare: only numbered names that equal another stem's literal name.
-        clash = (
-            named.groupBy(directory, "_file").agg(F.count(F.lit(1)).alias("c"), F.min("_n").alias("keep"))
-            .filter("c > 1")
-        )
-        if clash.isEmpty():
-            break
-        top = named.groupBy(directory, "_stem", ext).agg(F.max("_n").alias("top"))
-        moved = (
-            named.join(clash.select(directory, "_file", "keep"), [directory, "_file"])
-            .filter(F.col("_n") > F.col("keep"))
-            .select(directory, "_stem", ext, position)
+    if existing is not None:
+        files = existing.select(F.col("directory").alias(directory), F.col("file_name").alias("_file"))
+        held = held.unionByName(_numbered_names(files, directory, ext)).unionByName(
+            _splits(files, directory, ext).withColumn("_held", F.lit(1).cast("bigint"))
         )
-        order = Window.partitionBy(directory, "_stem", ext).orderBy(position)
-        moved = moved.withColumn("_step", F.row_number().over(order)).join(top, [directory, "_stem", ext])
-        moved = moved.select(directory, "_stem", ext, position, (F.col("top") + F.col("_step")).alias("_new"))
-        named = (
-            named.join(moved, [directory, "_stem", ext, position], "left")
-            .withColumn("_n", F.coalesce("_new", "_n"))
-            .withColumn("_file", _numbered(F.col("_stem"), F.col("_n"), F.col(ext)))
-            .drop("_new")
-        )
-    else:
-        raise RuntimeError("file names still clash; raise max_rounds")
-    return named.withColumnRenamed("_file", "file_name").drop("_stem", "_n")
+    held = held.distinct().join(stems.select(*key), key, "left_semi")
+    held = with_running(held, key, ["_held"], position_chunk("_held", chunk_rows), {"_i": Running("sum", F.lit(1))})
+    # A held number stands behind the request whose rank is the count of free numbers before it.
+    held = held.select(*key, (2 * (F.col("_held") - F.col("_i")) + 1).alias("_at"), "_held")
+    rows = ranked.withColumns({"_at": 2 * F.col("_rank"), "_held": F.lit(0).cast("bigint")})
+    passed = Running("sum", (F.col("_held") > 0).cast("bigint"))
+    rows = with_running(
+        rows.unionByName(held, allowMissingColumns=True),
+        key,
+        ["_at", "_held"],
+        position_chunk("_at", chunk_rows),
+        {"_passed": passed},
+    ).filter("_held = 0")
+    number = F.col("_rank") + F.col("_passed")
+    named = rows.withColumn("file_name", _numbered(F.col("_stem"), number, F.col(ext)))
+    return named.select(*df.columns, "file_name")
 
 
 def _numbered(stem: Column, number: Column, ext: Column) -> Column:
@@ -322,19 +312,25 @@ def _numbered(stem: Column, number: Column, ext: Column) -> Column:
     return F.concat(base, ext)
 
 
-def _taken_numbers(existing: DataFrame) -> DataFrame:
-    """The highest number held per stem among names on disk."""
-    parts = r"^(.*?)(?: \((\d+)\))?(\.[^.]*)$"
-    return (
-        existing.select(
-            "directory",
-            F.regexp_extract("file_name", parts, 1).alias("stem"),
-            F.regexp_extract("file_name", parts, 3).alias("ext"),
-            F.coalesce(F.regexp_extract("file_name", parts, 2).try_cast("bigint"), F.lit(1)).alias("n"),
-        )
-        .groupBy("directory", "stem", "ext")
-        .agg(F.max("n").alias("held"))
-    )
+def _splits(files: DataFrame, directory: str, ext: str) -> DataFrame:
+    """Every way to read a file name as stem and extension: cut at each dot, or without an extension."""
+    parts = F.split("_file", r"\.")
+
+    def cut(i: Column) -> Column:
+        rest = F.slice(parts, i + 1, F.size(parts))
+        tail = F.when(i < F.size(parts), F.concat(F.lit("."), F.array_join(rest, "."))).otherwise(F.lit(""))
+        return F.struct(F.array_join(F.slice(parts, F.lit(1), i), ".").alias("_stem"), tail.alias(ext))
+
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), cut)
+    return files.filter(F.col("_file").isNotNull()).select(directory, F.inline(cuts))
+
+
+def _numbered_names(files: DataFrame, directory: str, ext: str) -> DataFrame:
+    """The numbers that file names hold: ``x (2).md`` holds 2 of ``x``."""
+    form = r"(?s)^(.+) \(([1-9][0-9]*)\)$"
+    number = F.regexp_extract("_stem", form, 2).try_cast("bigint")
+    read = _splits(files, directory, ext).withColumn("_held", number).filter("_held > 1")
+    return read.withColumn("_stem", F.regexp_extract("_stem", form, 1))
 
 
 # --- errors -------------------------------------------------------------------------

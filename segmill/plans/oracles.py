@@ -745,6 +745,7 @@ SELECT seq, client_request_id, task_id, CASE WHEN client_request_id IS NULL THEN
   ELSE first_value(task_id) OVER (PARTITION BY client_request_id ORDER BY seq) END AS effective_task_id
 FROM (SELECT event_id AS seq, CASE WHEN event_type <> 'view' THEN 'r' || CAST(json_extract_string(props, '$.k') AS BIGINT) END AS client_request_id,
   't' || event_id AS task_id FROM events)"""
+SQL["submit_once_stream"] = SQL["submit_once"]
 
 # --- search -------------------------------------------------------------------------
 

@@ -608,7 +608,7 @@ def join_request_response_stream(spark, d):
 
 
 def submit_once_stream(spark, d):
-    return runs.submit_run(spark, d).select("seq", "client_request_id", "task_id")
+    return runs.submit_run(spark, d).select("seq", "client_request_id", "task_id", "effective_task_id")
 
 
 # --- revision, search, source choice ---------------------------------------------------------------

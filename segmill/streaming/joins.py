@@ -1,11 +1,10 @@
-"""Stream-stream join of requests and responses, and submit-once."""
+"""Stream-stream join of requests and responses."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from segmill.operators.requests import join_request_response
+from segmill.operators.requests import recent_requests
 
 WATERMARK = "10 minutes"
 
@@ -13,15 +12,9 @@ WATERMARK = "10 minutes"
 def join_request_response_stream(
     requests: DataFrame, responses: DataFrame, within: str = WATERMARK, delay: str = WATERMARK
 ) -> DataFrame:
-    """Media responses with their request's headers; state ends with the watermark plus ``within``."""
-    return join_request_response(
-        requests.withWatermark("ts", delay), responses.withWatermark("ts", delay), within
-    )
+    """Media responses with each request seen shortly before; state ends with the watermark plus ``within``.
 
-
-def submit_once_stream(requests: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """First request per client id inside the watermark; requests without an id all pass."""
-    timed = requests.withWatermark("ts", delay)
-    has_id = F.coalesce("client_request_id", F.lit("")) != ""
-    once = timed.filter(has_id).dropDuplicatesWithinWatermark(["client_request_id"])
-    return once.unionByName(timed.filter(~has_id))
+    A later request may still come, so all go out with their ``req_ts``; ``newest_request``
+    keeps the last one over the sink.
+    """
+    return recent_requests(requests.withWatermark("ts", delay), responses.withWatermark("ts", delay), within)

@@ -56,10 +56,10 @@ def run_to_table(df: DataFrame, mode: str, state_store: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(f"{place}/out").drop("batch")
 
 
-def _newest(rows: DataFrame, *keys: str) -> DataFrame:
+def _newest(rows: DataFrame, *keys: str, by: str = "last_seq") -> DataFrame:
     """Of the states a key went through, the last one."""
-    last = rows.groupBy(*keys).agg(F.max("last_seq").alias("last_seq"))
-    return rows.join(last, [*keys, "last_seq"])
+    last = rows.groupBy(*keys).agg(F.max(by).alias(by))
+    return rows.join(last, [*keys, by])
 
 
 def _with_stream(spark: SparkSession, sf_dir: str, view: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
@@ -69,7 +69,8 @@ def _with_stream(spark: SparkSession, sf_dir: str, view: Callable[[SparkSession,
 def candidate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _with_stream(spark, sf_dir, v.request_events)
     events = events.withColumn("headers", req.scrubbed_headers(F.col("headers")))
-    return _newest(run_to_table(state.track_stream_candidates(events), "update", state.STATE_STORE), "tab_id")
+    tabs = run_to_table(state.track_stream_candidates(events), "update", state.STATE_STORE)
+    return _newest(tabs, "tab_id", by="version")
 
 
 def task_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +87,10 @@ def job_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests, responses = v.traffic(spark, sf_dir, _events(spark, sf_dir))
-    return run_to_table(joins.join_request_response_stream(requests, responses), "append")
+    met = run_to_table(joins.join_request_response_stream(requests, responses), "append")
+    return req.newest_request(met, "seq")
 
 
 def submit_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = _with_stream(spark, sf_dir, v.submissions)
-    return run_to_table(joins.submit_once_stream(requests), "append")
+    return run_to_table(state.submit_once_stream(requests), "append", state.STATE_STORE)

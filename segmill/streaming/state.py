@@ -1,8 +1,10 @@
-"""Keyed state over event streams: stream candidates per tab, tasks, jobs.
+"""Keyed state over event streams: stream candidates per tab, tasks, jobs, submissions.
 
 Use with the RocksDB state store. How many rows of one key meet in a batch is set by
-the source's trigger limits. Every batch emits the full state of the keys it touched
-(update mode): the row with the highest ``last_seq`` of a key is its state.
+the source's trigger limits. Every batch emits the full state of the keys it changed
+(update mode). Of a task or job the row with the highest ``last_seq`` is the state; a
+batch of late rows only emits nothing. Of a tab the rows with the highest ``version``
+are, since late rows still count there.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ class CandidateTracker(StatefulProcessor):
     """Per tab the best candidates since the last page change.
 
     Each row is merged by its own sequence number, so rows may come in any order and
-    are taken frame by frame.
+    are taken frame by frame; a batch cuts to the best once all its rows are merged.
     """
 
     def __init__(self, keep: int, ttl_ms: int | None):
@@ -44,6 +46,7 @@ class CandidateTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.reset = handle.getValueState("reset", "seq bigint", self.ttl_ms)
+        self.seen = handle.getValueState("seen", "last_seq bigint, version bigint", self.ttl_ms)
         self.urls = handle.getMapState(
             "urls",
             "url string",
@@ -55,15 +58,20 @@ class CandidateTracker(StatefulProcessor):
         reset = self.reset.get()[0] if self.reset.exists() else -1
         known = {entry[0][0]: tuple(entry[1]) for entry in self.urls.iterator()}
         before = dict(known)
-        last = -1
+        last, version = self.seen.get() if self.seen.exists() else (-1, 0)
         for frame in rows:
             for row in frame.itertuples(index=False):
-                last = max(last, row.seq)
+                last = max(last, int(row.seq))
                 if row.seq <= reset:
                     continue
                 if row.kind == "reset":
                     reset = row.seq
-                    known = {url: item for url, item in known.items() if item[0] > reset}
+                    # A late reset also takes the headers seen before it.
+                    known = {
+                        url: item if item[5] > reset else (*item[:4], None, -1)
+                        for url, item in known.items()
+                        if item[0] > reset
+                    }
                     continue
                 old = known.get(row.url, (-1, 0, row.priority, None, None, -1))
                 headers, headers_seq = old[4], old[5]
@@ -72,8 +80,8 @@ class CandidateTracker(StatefulProcessor):
                 newest = (row.seq, row.detected_ms, row.priority, None if _missing(row.content_type) else row.content_type)
                 seen = newest if row.seq > old[0] else old[:4]
                 known[row.url] = (*seen, headers, headers_seq)
-            ranked = sorted(known.items(), key=lambda item: (-item[1][2], -item[1][1], -item[1][0]))
-            known = dict(ranked[: self.keep])
+        ranked = sorted(known.items(), key=lambda item: (-item[1][2], -item[1][1], -item[1][0]))[: self.keep]
+        known = dict(ranked)
         for url in before.keys() - known.keys():
             self.urls.removeKey((url,))
         for url, item in known.items():
@@ -81,16 +89,17 @@ class CandidateTracker(StatefulProcessor):
                 self.urls.updateValue((url,), item)
         if reset >= 0:
             self.reset.update((reset,))
-        ranked = sorted(known.items(), key=lambda item: (-item[1][2], -item[1][1], -item[1][0]))
+        version += 1
+        self.seen.update((last, version))
         # Rank 0 carries the number of candidates, so an emptied tab is visible too.
-        out = [(key[0], last, 0, None, None, None, len(ranked), None)]
+        out = [(key[0], last, version, 0, None, None, None, len(ranked), None)]
         out += [
-            (key[0], last, rank, url, item[3], item[4], item[2], item[1])
+            (key[0], last, version, rank, url, item[3], item[4], item[2], item[1])
             for rank, (url, item) in enumerate(ranked, start=1)
         ]
         yield pd.DataFrame(
             out,
-            columns=["tab_id", "last_seq", "rank", "url", "content_type", "headers", "priority", "detected_ms"],
+            columns=["tab_id", "last_seq", "version", "rank", "url", "content_type", "headers", "priority", "detected_ms"],
         ).astype({"detected_ms": "Int64"})
 
     def close(self) -> None:
@@ -112,7 +121,7 @@ def track_stream_candidates(events: DataFrame, keep: int = MAX_CANDIDATES, ttl_m
     )
     return narrow.groupBy("tab_id").transformWithStateInPandas(
         statefulProcessor=CandidateTracker(keep, ttl_ms),
-        outputStructType="tab_id bigint, last_seq bigint, rank int, url string, content_type string, "
+        outputStructType="tab_id bigint, last_seq bigint, version bigint, rank int, url string, content_type string, "
         "headers string, priority int, detected_ms bigint",
         outputMode="Update",
         timeMode=_time_mode(ttl_ms),
@@ -164,6 +173,7 @@ class TaskTracker(StatefulProcessor):
         state.update(status="pending", stage="preparing", cancel_asked=False, last_seq=-1)
         if self.task.exists():
             state = dict(zip(self.FIELDS, self.task.get()))
+        known = state["last_seq"]
         events = pd.concat(list(rows)).sort_values("seq")
         for row in events.itertuples(index=False):
             if row.seq <= state["last_seq"]:
@@ -175,6 +185,8 @@ class TaskTracker(StatefulProcessor):
             }
             _advance_task(state, row.kind, row.stage, row.progress, details)
             state["last_seq"] = int(row.seq)
+        if state["last_seq"] == known:
+            return
         self.task.update(tuple(state[name] for name in self.FIELDS))
         shown = [name for name in self.FIELDS if name != "cancel_asked"]
         frame = pd.DataFrame([[key[0], *(state[name] for name in shown)]], columns=["task_id", *shown])
@@ -233,6 +245,7 @@ class JobTracker(StatefulProcessor):
         state.update(alive=False, last_seq=-1)
         if self.job.exists():
             state = dict(zip(self.FIELDS, self.job.get()))
+        known = state["last_seq"]
         for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
             if row.seq <= state["last_seq"]:
                 continue
@@ -243,6 +256,8 @@ class JobTracker(StatefulProcessor):
             }
             _advance_job(state, row.kind, None if _missing(row.created_at) else int(row.created_at), patch)
             state["last_seq"] = int(row.seq)
+        if state["last_seq"] == known:
+            return
         # A deleted job stays as a tombstone until its state expires.
         self.job.update(tuple(state[name] for name in self.FIELDS))
         frame = pd.DataFrame([[*key, *(state[name] for name in self.FIELDS)]], columns=["owner", "job_id", *self.FIELDS])
@@ -264,3 +279,36 @@ def job_state_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
         outputMode="Update",
         timeMode=_time_mode(ttl_ms),
     )
+
+
+class SubmitTracker(StatefulProcessor):
+    """The task that a client id got first; in a batch the lowest sequence number is first."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "task_id string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        requests = pd.concat(list(rows)).sort_values("seq")
+        if not self.first.exists():
+            self.first.update((requests["task_id"].iloc[0],))
+        yield requests[["seq", "client_request_id", "task_id"]].assign(effective_task_id=self.first.get()[0])
+
+    def close(self) -> None:
+        pass
+
+
+def submit_once_stream(requests: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Stream form of ``submit_once``: an id's later requests get the task of its first, for the state's lifetime."""
+    columns = [F.col("seq").cast("bigint").alias("seq"), "client_request_id", "task_id"]
+    rows = requests.select(*columns)
+    has_id = F.coalesce("client_request_id", F.lit("")) != ""
+    named = rows.filter(has_id).groupBy("client_request_id").transformWithStateInPandas(
+        statefulProcessor=SubmitTracker(ttl_ms),
+        outputStructType="seq bigint, client_request_id string, task_id string, effective_task_id string",
+        outputMode="Append",
+        timeMode=_time_mode(ttl_ms),
+    )
+    return named.unionByName(rows.filter(~has_id).withColumn("effective_task_id", F.col("task_id")))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -226,3 +227,25 @@ def test_expanded_ipv6_hosts(spark):
     }
     rows = spark.createDataFrame([(f"https://{h}/x", ok) for h, ok in hosts.items()], "url string, ok boolean")
     assert [r.url for r in cat.guard_public_url(rows).collect() if r.public != r.ok] == []
+
+
+def test_output_names_take_the_first_free_number(spark):
+    rng = random.Random(4)
+    disk = ["x (2).md", "y.md", "y (5).md", "x (3) (2).md", "z", "a.ru.srt", "x (02).md"]
+    asked = [(rng.choice(["x", "y", "x (2)", "x (3)", "x (4)", "z", "y (2)"]), rng.choice([".md", ".txt"])) for _ in range(60)]
+    asked += [("a", ".ru.srt"), ("a.ru", ".srt"), ("b.ru", ".srt"), ("b", ".ru.srt"), ("z", "")]
+    literal, used, want = {n + e for n, e in asked}, set(disk), []
+    for name, ext in asked:
+        tried = (name + (f" ({k})" if k > 1 else "") + ext for k in itertools.count(1))
+        want.append(next(f for f in tried if f not in used and (f == name + ext or f not in literal)))
+        used.add(want[-1])
+    df = spark.createDataFrame([("d", n, e, i) for i, (n, e) in enumerate(asked)], "directory string, name string, ext string, ord int")
+    held = spark.createDataFrame([("d", f) for f in disk] + [("other", "x.md")], "directory string, file_name string")
+    got = cat.assign_output_names(df, existing=held, chunk_rows=7).orderBy("ord")
+    assert [r.file_name for r in got.collect()] == want and got.columns == ["directory", "name", "ext", "ord", "file_name"]
+
+
+def test_terms_are_folded_like_text(spark):
+    segments = spark.createDataFrame([("r", 0, 0, 1000, "die Straße")], "rec_id string, seg_idx int, start_ms bigint, end_ms bigint, text string")
+    glossary = spark.createDataFrame([("r", ["Straße"])], "rec_id string, glossary array<string>")
+    assert rev.segment_features(segments, glossary).first().glossary_hits == 1

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 from pyspark.sql import functions as F
@@ -81,3 +82,61 @@ def test_submit_once(spark):
     rows = [(1, "x", "t1"), (2, "x", "t2"), (3, None, "t3"), (4, None, "t4")]
     df = spark.createDataFrame(rows, "seq bigint, client_request_id string, task_id string")
     assert sorted(r.task_id for r in tsk.accepted_requests(df).collect()) == ["t1", "t3", "t4"]
+
+
+def in_batches(spark, rows, schema, folder, batches=3, seed=5):
+    """The rows as a stream of shuffled batches."""
+    rows = random.Random(seed).sample(rows, len(rows))
+    for k in range(batches):
+        spark.createDataFrame(rows[k::batches], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_candidates_over_shuffled_batches_equal_batch(spark, tmp_path):
+    schema = "tab_id bigint, seq bigint, kind string, url string, content_type string, headers map<string,string>, ts timestamp"
+    rng = random.Random(3)
+    rows = []
+    for seq in range(120):
+        kind = "reset" if rng.random() < 0.05 else "candidate"
+        headers = {"Cookie": str(seq)} if rng.random() < 0.5 else {}
+        ts = datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=seq)
+        rows.append((seq % 4, seq, kind, f"https://h/{rng.randrange(9)}.mp4", None, headers, ts))
+    batch = req.rank_stream_candidates(req.stream_candidates(spark.createDataFrame(rows, schema)))
+    stream = state.track_stream_candidates(in_batches(spark, rows, schema, tmp_path / "in"))
+    got = runs._newest(runs.run_to_table(stream, "update", state.STATE_STORE), "tab_id", by="version").filter("rank > 0")
+    columns = ["tab_id", "rank", "url"]
+    assert sorted(got.select(*columns, "headers").collect()) == sorted(batch.select(*columns, F.to_json("headers")).collect())
+
+
+def test_late_rows_leave_one_state_per_task(spark, tmp_path):
+    for seq in (5, 3, 4):
+        df = spark.createDataFrame([("t", seq, "completed" if seq == 5 else "update", "a", 1.0, None)], EVENTS)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = runs._newest(runs.run_to_table(state.task_state_stream(stream), "update", state.STATE_STORE), "task_id").collect()
+    assert [(r.task_id, r.last_seq, r.status) for r in got] == [("t", 5, "completed")]
+
+
+def test_later_submissions_get_the_first_task(spark, tmp_path):
+    schema = "seq bigint, client_request_id string, task_id string"
+    for part in ([(2, "x", "t2"), (1, "x", "t1"), (3, None, "t3")], [(4, "x", "t4"), (5, "y", "t5"), (6, "", "t6")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = runs.run_to_table(state.submit_once_stream(stream), "append", state.STATE_STORE).collect()
+    want = {1: "t1", 2: "t1", 3: "t3", 4: "t1", 5: "t5", 6: "t6"}
+    assert {r.seq: r.effective_task_id for r in got} == want and len(got) == 6
+
+
+def test_the_last_request_gives_the_headers(spark):
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    sent = spark.createDataFrame(
+        [("r", at(0), {"Cookie": "1"}), ("r", at(2), {"Cookie": "2"}), ("r", at(6), {"Cookie": "3"}), (None, at(1), {})],
+        "request_id string, ts timestamp, headers map<string,string>",
+    )
+    back = spark.createDataFrame(
+        [(1, "r", "video/mp4", at(3)), (2, "r", "video/mp4", at(6)), (3, "r", "video/mp4", at(30)), (4, None, "video/mp4", at(3))],
+        "seq bigint, request_id string, content_type string, ts timestamp",
+    )
+    want = [(1, {"Cookie": "2"}), (2, {"Cookie": "3"}), (3, None), (4, None)]
+    for rows in (req.join_request_response(sent, back), req.newest_request(req.recent_requests(sent, back), "seq")):
+        assert [(r.seq, r.request_headers) for r in rows.orderBy("seq").collect()] == want
