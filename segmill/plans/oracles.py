@@ -700,6 +700,10 @@ WHERE complete OR best < 900"""
 
 SQL["join_request_response"] = with_views("v_requests") + """
 SELECT seq, tab_id, url, CASE WHEN seq % 10 <> 0 THEN 'agent/' || page_id END AS user_agent FROM v_requests WHERE kind = 'candidate'"""
+# Unmatched responses not before the last watermark (10 minutes behind the newest request) still wait when the input ends.
+SQL["join_request_response_stream"] = with_views("v_requests") + """
+SELECT seq, tab_id, url, CASE WHEN seq % 10 <> 0 THEN 'agent/' || page_id END AS user_agent FROM v_requests WHERE kind = 'candidate'
+  AND (seq % 10 <> 0 OR ts + INTERVAL 20 MINUTE < (SELECT max(ts) FROM v_requests WHERE kind = 'candidate') - INTERVAL 10 MINUTE)"""
 
 SQL["task_state"] = with_views("v_task_events") + """,
 marks AS (SELECT task_id, min(seq) FILTER (WHERE kind IN ('failed', 'cancelled')) AS ended, min(seq) FILTER (WHERE kind = 'cancel') AS asked,
