@@ -1,4 +1,4 @@
-"""Byte counts as text and size checks for joins."""
+"""Byte counts as text, and splits of small inputs."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 # Unit labels of the size text.
 SIZE_UNITS = ("Б", "КБ", "МБ", "ГБ")
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def size_text(size: Column) -> Column:
     value = size.cast("double")
@@ -21,18 +19,6 @@ def size_text(size: Column) -> Column:
     return scaled
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only after measuring ``df``; a larger side joins by shuffle.
-
-    The measurement reads at most ``max_rows + 1`` rows of the (small) side.
-    """
-    width = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(16))
-    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
-    if size["n"] <= max_rows and (size["b"] or 0) <= max_bytes:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use the whole cluster for heavy per-row work on an input that comes in too few splits.
 

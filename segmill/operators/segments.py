@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from segmill.functions.text import collapse_spaces, has_alnum
 from segmill.operators.ordered import CHUNK_ROWS, Running, position_chunk, with_running
+from segmill.session import checkpointed
 
 # The paragraph rules.
 LONG_PAUSE_MS = 2_500
@@ -312,16 +313,11 @@ def build_blocks(
         )
     if piece_rows < MAX_BLOCK_SEGMENTS:
         raise ValueError(f"piece_rows must be at least {MAX_BLOCK_SEGMENTS}")
-    pieces = _pieces(block_input(segments, chunk_rows), piece_rows)
-    longest = segments.groupBy("rec_id").count().filter(F.col("count") > piece_rows)
-    if longest.isEmpty():
-        ready = pieces.withColumn("entry", F.lit(0))
-    else:
-        long_only = pieces.join(longest.select("rec_id"), "rec_id", "left_semi")
-        entries = _piece_entries(long_only)
-        ready = pieces.join(entries, ["rec_id", "piece"], "left").withColumn(
-            "entry", F.coalesce("entry", F.lit(0))
-        )
+    # Written once: the first pass reads the numbers of cut recordings, the second everything.
+    pieces = checkpointed(_pieces(block_input(segments, chunk_rows), piece_rows))
+    cut = pieces.filter("piece > 0").select("rec_id").distinct()
+    entries = _piece_entries(pieces.join(cut, "rec_id", "left_semi"))
+    ready = pieces.join(entries, ["rec_id", "piece"], "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
     speaker = segments.schema["speaker"].dataType.simpleString()
     schema = (
         "rec_id string, first_seg int, start_ms bigint, end_ms bigint, text string, "

@@ -397,7 +397,8 @@ SQL["dedupe_rolling_captions"] = with_views("v_cues") + ", " + ROLLING.strip().r
 SELECT rec_id, CAST(seg_idx AS BIGINT) AS seg_idx, start_ms, end_ms, text FROM rolled_out"""
 
 _CHOSEN = """
-texts AS (SELECT rec_id, cue_idx, start_ms, end_ms, text FROM v_cues WHERE CAST(rec_id AS BIGINT) % 3 <> 0 AND trim(text) <> '')"""
+texts AS (SELECT rec_id, cue_idx, start_ms, end_ms, text FROM v_cues WHERE trim(text) <> ''
+  AND rec_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang <> 'de'))"""
 SQL["reconcile_text_source"] = with_views("v_cues", "v_segments") + f""", {_CHOSEN.strip()}
 SELECT rec_id, CAST(cue_idx AS BIGINT) AS seg_idx, start_ms, end_ms, text, 'captions' AS source FROM texts
 UNION ALL
@@ -491,9 +492,9 @@ SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY part, pos) - 1 AS
     SELECT rec_id, 0 AS part, pos, value FROM custom_terms UNION ALL SELECT rec_id, 1, pos, value FROM latin_terms)) WHERE rn = 1
 QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY part, pos) <= 96"""
 
-SQL["build_glossary"] = with_views("term_hits", "dict_keywords") + f""", {_custom(5)}, {_technical('title')},
-meta_keys AS (SELECT rec_id, {_key("title || ' ' || source || ' ' || title || ' ' || lang || ' ' || source || ' ' || lang")} AS key_text FROM (
-  SELECT CAST(doc_id AS VARCHAR) AS rec_id, split_part(text, chr(10), 1) AS title, lang, source FROM documents)),
+SQL["build_glossary"] = with_views("term_hits", "dict_keywords") + f""", {_custom(64)}, {_technical('text')},
+meta_keys AS MATERIALIZED (SELECT rec_id, {_key("title || ' ' || source || ' ' || text || ' ' || lang || ' ' || source || ' ' || lang")} AS key_text FROM (
+  SELECT CAST(doc_id AS VARCHAR) AS rec_id, split_part(text, chr(10), 1) AS title, text, lang, source FROM documents)),
 meta_hits AS (SELECT rec_id, term_id, max((length(' ' || key_text || ' ') - length(replace(' ' || key_text || ' ', ' ' || key || ' ', '')))
     // (length(key) + 2)) AS hits FROM meta_keys JOIN dict_variants ON contains(' ' || key_text || ' ', ' ' || key || ' ') GROUP BY ALL),
 context AS (SELECT rec_id, trim(m.key_text || ' ' || d.key_text) AS key_text FROM meta_keys m JOIN doc_keys d USING (rec_id)),
@@ -508,7 +509,7 @@ tiers AS (
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, key ORDER BY tier, r1, r2, r3, value) AS rn FROM (
   SELECT *, {_key('value')} AS key FROM tiers)) WHERE rn = 1 AND key <> '')
 SELECT rec_id, pos, value, source, category, CAST(score AS BIGINT) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY tier, r1, r2, r3, key) - 1 AS pos FROM firsts) WHERE pos < 20"""
+  SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY tier, r1, r2, r3, key) - 1 AS pos FROM firsts) WHERE pos < 80"""
 
 # --- review -------------------------------------------------------------------------
 

@@ -558,9 +558,7 @@ def clean_custom_terms(spark, d):
 
 
 def build_glossary(spark, d):
-    few = glo.clean_custom_terms(glo.split_custom_terms(_doc_texts(spark, d), "text"), max_terms=5)
-    recordings = _doc_recordings(spark, d).withColumn("description", F.col("title"))
-    rows = glo.build_glossary(recordings, _doc_texts(spark, d), few, _dictionary(spark, d), limit=20)
+    rows = glo.build_glossary(_doc_recordings(spark, d), _doc_texts(spark, d), _custom(spark, d), _dictionary(spark, d))
     return rows.select("rec_id", _long("pos"), "value", "source", "category", _long("score"))
 
 
@@ -636,18 +634,21 @@ def find_next(spark, d):
     return cat.find_next(_doc_texts(spark, d), "Der", 500).select("rec_id", _long("position"), _long("line"))
 
 
+def _captions(spark, d):
+    """Captions of the recordings that are not German; the others have none."""
+    captioned = v.table(spark, d, "documents").filter("lang <> 'de'").select(F.col("doc_id").cast("string").alias("rec_id"))
+    return v.cues(spark, d).withColumnRenamed("cue_idx", "seg_idx").join(captioned, "rec_id", "left_semi")
+
+
 def reconcile_text_source(spark, d):
     recordings = _doc_texts(spark, d).select("rec_id")
-    # Captions exist for two thirds of the recordings.
-    captions = v.cues(spark, d).withColumnRenamed("cue_idx", "seg_idx").filter(F.col("rec_id").cast("bigint") % 3 != 0)
-    chosen, _ = cap.reconcile_text_source(recordings, captions, v.segments(spark, d))
+    chosen, _ = cap.reconcile_text_source(recordings, _captions(spark, d), v.segments(spark, d))
     return chosen.select("rec_id", _long("seg_idx"), "start_ms", "end_ms", "text", "source")
 
 
 def reconcile_status(spark, d):
     recordings = _doc_texts(spark, d).select("rec_id")
-    captions = v.cues(spark, d).withColumnRenamed("cue_idx", "seg_idx").filter(F.col("rec_id").cast("bigint") % 3 != 0)
-    _, status = cap.reconcile_text_source(recordings, captions, v.segments(spark, d), source="subtitles")
+    _, status = cap.reconcile_text_source(recordings, _captions(spark, d), v.segments(spark, d), source="subtitles")
     return status.select("rec_id", "source", "segments", "error")
 
 

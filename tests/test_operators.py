@@ -148,7 +148,7 @@ def sequential_budget(rows, share):
     return sorted(taken)
 
 
-def test_budget_in_one_fold_and_in_rounds(spark):
+def test_budget_against_one_pass(spark):
     rng = random.Random(11)
     rows = []
     for rec in ("a", "b"):
@@ -159,9 +159,9 @@ def test_budget_in_one_fold_and_in_rounds(spark):
             at += ms + 500
     df = spark.createDataFrame(rows, SEGS + ", score int").withColumn("reasons", F.array().cast("array<string>"))
     want = {rec: sequential_budget([r for r in rows if r[0] == rec], 0.18) for rec in ("a", "b")}
-    for limit in (1000, 1):
+    for chunk in (1000, 9):
         got = {"a": [], "b": []}
-        for r in rev.select_review_candidates(df, fold_limit=limit, chunk_rows=9).collect():
+        for r in rev.select_review_candidates(df, chunk_rows=chunk).collect():
             got[r.rec_id].append(r.seg_idx)
         assert {k: sorted(v) for k, v in got.items()} == want
 
