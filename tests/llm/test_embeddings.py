@@ -64,10 +64,18 @@ def test_recall_of_candidate_pairs():
         aside -= (aside * x).sum(1, keepdims=True) * x
         aside /= np.linalg.norm(aside, axis=1, keepdims=True)
         y = 0.98 * x + math.sqrt(1 - 0.98**2) * aside
-        assert embeddings._meet(embeddings.buckets(x), embeddings.buckets(y)).any(1).mean() > 0.99
+        assert embeddings._meet(embeddings.nearest_axes(x), embeddings.nearest_axes(y)).any(1).mean() > 0.99
 
 
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 0)] * 3 + [(9, [1.0, 2.0], 0)], "vec_id long, embedding array<float>, label int")
     got = [tuple(r) for r in embeddings.near_duplicates(df).collect()]
     assert sorted(got) == [(1, 3, 1, True)] * 3 + [(9, 3, 1, False)]
+
+
+def test_missing_ids_and_ids_with_several_vectors(spark):
+    rows = [(None, [1.0, 2.0], 0), (None, None, 0), (4, [1.0, 2.0], 0), (7, [1.0, 2.01], 0), (4, [2.0, -1.0], 0), (9, [2.0, -1.01], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((tuple(r) for r in embeddings.near_duplicates(df).collect()), key=repr)
+    alone = [(None, 0, None, True)] * 2
+    assert got == sorted([*alone, (4, 2, 4, True), (4, 2, 4, True), (7, 1, 4, False), (9, 1, 4, False)], key=repr)
