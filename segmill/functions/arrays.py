@@ -15,14 +15,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     optimizer and evaluated again for every element.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def distinct_by(items: Column, key: Callable[[Column], Column]) -> Column:
-    """Keep the first array element per ``key(element)``, in order (short arrays)."""
-    keyed = F.transform(items, lambda x: F.struct(key(x).alias("key"), x.alias("item")))
-    return let(
-        keyed,
-        lambda pairs: F.transform(
-            F.filter(pairs, lambda p, i: F.array_position(pairs["key"], p["key"]) == i + 1), lambda p: p["item"]
-        ),
-    )
