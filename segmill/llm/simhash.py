@@ -17,7 +17,7 @@ blocks and hands on the spanning star of its links, not all pairs.
 Defined results: a null text or one without words has fingerprint zero and is
 linked like any other. Repeated rows share their fingerprint and component. A
 row with a null id is linked with nothing. An empty table gives an empty result.
-Other columns are ignored by ``near_duplicates`` and carried by ``keep_one``.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill.llm.groups import block_pairs, connected, roots
@@ -201,13 +201,3 @@ def near_duplicates(
     return hashed.join(named, "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
-    """One row of each component: the one with the least id; rows with a null id all stay."""
-    found = near_duplicates(docs, doc_id, text, radius, width).where("doc_id = component_id").select("doc_id").distinct()
-    kept = checkpointed(found.withColumnRenamed("doc_id", "_kept"))
-    named = docs.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.lit(0)))
-    one = named.withColumn("_first", first).where("_first = 1").drop("_first")
-    return one.unionByName(docs.where(F.col(doc_id).isNull()))
