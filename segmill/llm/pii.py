@@ -1,17 +1,20 @@
 """Personal data: fixed patterns, and terms whose co-occurrence gives a protected entity away.
 
 The patterns find emails, IP addresses, card and phone numbers; these matches
-are the protected entities. A term (a word of at least four letters) beside an
-entity, on the same line and within ``WINDOW`` characters, is weighed by the
-corpus: with ``n(x)`` the documents that hold ``x``,
+are the protected entities. A term (a word of at least four letters that no
+match covers) anywhere in a text that holds an entity is weighed by the corpus:
+with ``n(x)`` the documents that hold ``x``,
 
     disclosure(term, entity) = PMI(term; entity) / IC(entity)
         = log(N * n(term, entity) / (n(term) * n(entity))) / log(N / n(entity))
 
-which is 1 if the term occurs beside nothing but that entity, and 0 if they are
-independent. Terms seen beside an entity in at least two documents whose
-disclosure reaches ``GENERALISE`` are replaced by a general marker, from
-``REMOVE`` on they are removed.
+which is 1 if the term occurs in no text without that entity, and 0 if they are
+independent. Of terms that share at least two documents with an entity and whose
+disclosure reaches ``GENERALISE`` every occurrence in texts that hold the entity
+is replaced by a general marker, from ``REMOVE`` on it is removed. Before terms
+and entities are paired, those go that cannot reach two documents, and a pair
+whose term is in too many documents: ``n(both)`` is at most either count, so
+``n(term)`` is at most ``N * (n(entity) / N) ** GENERALISE``.
 
 Everything is DataFrame functions. A match's place follows from the text split
 at the matches. Repetitions that could nest deeply are possessive, which gives
@@ -25,7 +28,7 @@ an empty result. Other columns are carried by ``sanitise``, ignored by ``find``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmill.session import checkpointed
@@ -46,8 +49,6 @@ PATTERNS = {
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "contains(t, '+')", f"length({_DIGITS}) BETWEEN 10 AND 15"),
 }
 KINDS = (*PATTERNS, "term")
-#: Characters on either side of an entity in which terms count as its context.
-WINDOW = 64
 GENERALISE, REMOVE, LEAST_DOCUMENTS = 0.8, 0.95, 2
 _SPAN = "struct<start: int, k: int, end: int, kind: string, value: string>"
 _TERM = r"\p{L}{4,}"
@@ -69,7 +70,7 @@ def span_list(spans: str) -> Column:
 
 
 def _scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: ``doc_id``, ``row1`` and ``row2`` (which name equal rows), ``base`` spans and their ``contexts``."""
+    """Per row: ``doc_id``, ``row1`` and ``row2`` (which name equal rows), ``base`` spans, their ``entities``, and ``t``, the text if there are any."""
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")
     ).withColumns({"row1": F.xxhash64("doc_id", "t"), "row2": F.xxhash64("t", "doc_id")})
@@ -78,26 +79,23 @@ def _scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for kind, (pattern, possible, valid) in PATTERNS.items()
     ]
     rows = rows.withColumn("base", F.expr(f"array_sort(concat({', '.join(found)}))"))
-    contexts = f"""transform(base, s -> struct(concat(s.kind, ':', lower(s.value)) AS entity, s.start AS start, s.end AS end,
-        substring_index(substr(t, greatest(s.start - {WINDOW}, 0) + 1, least(s.start, {WINDOW})), '\\n', -1) AS left,
-        substring_index(substr(t, s.end + 1, {WINDOW}), '\\n', 1) AS right))"""
-    return rows.select("doc_id", "row1", "row2", "base", F.expr(contexts).alias("contexts"))
+    entities = F.expr("array_distinct(transform(base, s -> concat(s.kind, ':', lower(s.value))))")
+    return rows.select("doc_id", "row1", "row2", "base", entities.alias("entities"), F.when(F.size("base") > 0, F.col("t")).alias("t"))
 
 
-def _beside(scanned: DataFrame) -> DataFrame:
-    """A row per entity and term beside it: ``row1, row2, base, entity, term`` and the term's span.
+def _places(rows: DataFrame) -> DataFrame:
+    """``row1, row2, term, start, end`` of every term that no match covers; ``rows`` holds each of its rows once.
 
-    A word that the window cuts is left out.
+    A text is split at its terms; a running sum of the pieces' lengths gives the places.
     """
-    rows = scanned.where(F.size("base") > 0).select("row1", "row2", "base", F.explode("contexts").alias("c"))
-    rows = rows.select("row1", "row2", "base", "c.entity", "c.start", "c.end", F.col("c.left").alias("l"), F.col("c.right").alias("r"))
-    left = f"""transform(filter({_matches('l', 'term', _TERM)}, e -> e.start > 0 OR length(l) < {WINDOW}),
-        e -> struct(start - length(l) + e.start AS start, e.k AS k, start - length(l) + e.end AS end, e.kind AS kind, e.value AS value))"""
-    right = f"""transform(filter({_matches('r', 'term', _TERM)}, e -> e.end < {WINDOW}),
-        e -> struct(end + e.start AS start, e.k AS k, end + e.end AS end, e.kind AS kind, e.value AS value))"""
-    rows = rows.select("row1", "row2", "base", "entity", F.explode(F.expr(f"concat({left}, {right})")).alias("span"))
-    free = rows.where(F.expr("NOT exists(base, b -> span.start < b.end AND span.end > b.start)"))
-    return free.select("row1", "row2", "entity", F.lower("span.value").alias("term"), "span")
+    pieces = F.posexplode(F.expr(f"arrays_zip(split(t, r'{_TERM}', -1), regexp_extract_all(t, r'{_TERM}', 0))")).alias("at", "x")
+    parts = rows.select("row1", "row2", pieces).select("row1", "row2", "at", F.col("x.0").alias("gap"), F.col("x.1").alias("word"))
+    until = F.sum(F.length("gap") + F.coalesce(F.length("word"), F.lit(0))).over(Window.partitionBy("row1", "row2").orderBy("at"))
+    ended = parts.withColumn("end", until.cast("int")).where("word IS NOT NULL")
+    words = ended.select("row1", "row2", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end", "word")
+    covered = rows.select(F.col("row1").alias("_row1"), F.col("row2").alias("_row2"), F.explode("base").alias("b"))
+    overlap = (F.col("row1") == F.col("_row1")) & (F.col("row2") == F.col("_row2")) & (F.col("start") < F.col("b.end")) & (F.col("end") > F.col("b.start"))
+    return words.join(covered, overlap, "left_anti")
 
 
 def _term_documents(docs: DataFrame, text: str) -> DataFrame:
@@ -106,20 +104,36 @@ def _term_documents(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
+def _weighed(scanned: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """``row1, row2, entity, term`` of all pairs that may tell, and ``entity, term, disclosure`` of those that do."""
+    total = max(1, scanned.count())
+    holding = scanned.where(F.size("base") > 0).dropDuplicates(["row1", "row2"])
+    each = holding.select("row1", "row2", F.explode("entities").alias("entity"))
+    entities = checkpointed(each.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= LEAST_DOCUMENTS))
+    each = checkpointed(each.join(entities, "entity"))
+    most = each.agg(F.max("n_entity")).first()[0] or 0
+
+    def bound(n_entity: Column) -> Column:
+        return F.lit(total * (1 + 1e-9)) * F.pow(n_entity / F.lit(total), F.lit(GENERALISE))
+
+    terms = checkpointed(_places(holding.join(each.select("row1", "row2").distinct(), ["row1", "row2"], "left_semi")).select("row1", "row2", "term").distinct())
+    often = terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).select("term")
+    known = _term_documents(docs, text).where(F.col("n_term") <= bound(F.lit(most))).join(often, "term")
+    terms = terms.join(checkpointed(known), "term")
+    paired = terms.join(each, ["row1", "row2"]).where(F.col("n_term") <= bound(F.col("n_entity")))
+    paired = checkpointed(paired.select("row1", "row2", "entity", "term", "n_entity", "n_term"))
+    joined = paired.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    joined = joined.where(F.col("n_both") >= LEAST_DOCUMENTS)
+    whole = F.lit(total).cast("double")
+    mutual = F.log(whole * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    own = F.log(whole / F.col("n_entity"))
+    told = joined.select("entity", "term", F.when(own > 0, mutual / own).alias("disclosure"))
+    return paired, told.where(F.col("disclosure") >= GENERALISE)
+
+
 def disclosing_terms(scanned: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """``entity, term, disclosure`` of the terms that give an entity away."""
-    beside = _beside(scanned).select("row1", "row2", "entity", "term").distinct()
-    together = beside.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_DOCUMENTS)
-    together = checkpointed(together)
-    entities = scanned.where(F.size("base") > 0).select("row1", "row2", F.explode("contexts.entity").alias("entity")).distinct()
-    entities = entities.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= LEAST_DOCUMENTS)
-    total = F.lit(max(1, scanned.count())).cast("double")
-    terms = _term_documents(docs, text).join(together.select("term").distinct(), "term")
-    joined = together.join(entities, "entity").join(terms, "term")
-    mutual = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    own = F.log(total / F.col("n_entity"))
-    weighed = joined.select("entity", "term", F.when(own > 0, mutual / own).alias("disclosure"))
-    return weighed.where(F.col("disclosure") >= GENERALISE)
+    return _weighed(scanned, docs, text)[1]
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,12 +142,15 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     Spans are structs ``start, k, end, kind, value`` in code points, end exclusive.
     """
     scanned = checkpointed(_scanned(docs, doc_id, text))
-    telling = checkpointed(disclosing_terms(scanned, docs, text))
-    met = _beside(scanned).join(telling, ["entity", "term"])
-    most = met.groupBy("row1", "row2", "span").agg(F.max("disclosure").alias("disclosure"))
-    raised = F.expr(f"named_struct('start', span.start, 'k', span.k + IF(disclosure >= {REMOVE}, 1, 0), 'end', span.end, 'kind', span.kind, 'value', span.value)")
-    terms = checkpointed(most.groupBy("row1", "row2").agg(F.collect_list(raised).alias("terms")))
-    rows = scanned.drop("contexts").join(terms, ["row1", "row2"], "left")
+    paired, telling = _weighed(scanned, docs, text)
+    met = paired.join(checkpointed(telling), ["entity", "term"])
+    most = checkpointed(met.groupBy("row1", "row2", "term").agg(F.max("disclosure").alias("disclosure")))
+    holding = scanned.join(most.select("row1", "row2").distinct(), ["row1", "row2"], "left_semi").dropDuplicates(["row1", "row2"])
+    placed = _places(holding).join(most, ["row1", "row2", "term"])
+    k = KINDS.index("term")
+    raised = F.expr(f"named_struct('start', start, 'k', {k} + IF(disclosure >= {REMOVE}, 1, 0), 'end', end, 'kind', 'term', 'value', word)")
+    terms = checkpointed(placed.groupBy("row1", "row2").agg(F.collect_list(raised).alias("terms")))
+    rows = scanned.drop("entities", "t").join(terms, ["row1", "row2"], "left")
     return rows.select(
         "doc_id", "row1", "row2", "base", F.expr("array_sort(concat(base, coalesce(terms, array())))").alias("spans")
     )

@@ -93,3 +93,17 @@ def test_sanitised_texts(spark):
     assert texts[102] == "only [EMAIL] singular" and texts[103] is None
     assert texts[0] == docs.where("doc_id = 0").first().text
     assert pii.sanitise(nothing(docs)).count() == 0
+
+
+def test_every_occurrence_of_a_telling_term(spark):
+    far = "filler " * 40
+    rows = [(k, f"ordinary common filler words number{k} here\nand common others") for k in range(60)]
+    rows += [(100, f"Kowalczyk: a@b.example\n{far}\n\U0001d4b3 kowalczyk, KOWALCZYK kowalczyks"), (101, f"Kowalczyk {far}\n{far} a@b.example")]
+    rows += [(102, "filler without")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = sorted((r.doc_id, r.text) for r in pii.sanitise(docs).where("doc_id >= 100").collect())
+    assert texts == [
+        (100, f": [EMAIL]\n{far}\n\U0001d4b3 ,  kowalczyks"),
+        (101, f" {far}\n{far} [EMAIL]"),
+        (102, "filler without"),
+    ]
