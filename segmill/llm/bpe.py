@@ -36,8 +36,8 @@ from segmill.llm.vocabularies import encoding
 
 #: A block of documents ends at so many characters or distinct words.
 BLOCK_CHARS, BLOCK_WORDS = 5_000_000, 150_000
-#: Buckets of words; a task holds the distinct words of one bucket at a time.
-BUCKETS = 1024
+#: Buckets of words, and how many distinct words of its bucket a task remembers with their ids.
+BUCKETS, REMEMBERED = 1024, 100_000
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -66,18 +66,18 @@ def _unpacked(row: bytes) -> tuple[np.ndarray, bytes]:
 class _Block:
     def __init__(self) -> None:
         self.rows, self.counts, self.words, self.codes, self.chars = [], [], [], [], 0
-        self.seen, self.hashes = Lexicon(), [np.zeros(0, np.uint64)]
+        self.seen, self.dealt = Lexicon(), []
 
     def buckets(self) -> np.ndarray:
         """The bucket of each distinct word."""
-        return (np.concatenate(self.hashes) % np.uint64(BUCKETS)).astype(np.int64)
+        return np.array(self.dealt, np.int64)
 
     def add(self, keys: list[tuple], texts: list[str], ends: list[bool], open_row: int) -> int:
         """Take some texts; returns the words so far of a row that goes on in the next ones."""
-        codes, counts, forms, hashes = pieces(texts)
-        numbers, new = self.seen.number(hashes)
-        self.words += [forms[k] for k in new]
-        self.hashes.append(hashes[new])
+        codes, counts, forms = pieces(texts)
+        numbers, new = self.seen.number(forms)
+        self.words += new
+        self.dealt += [xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS for word in new]
         self.codes.append(numbers[codes])
         for (key,), count, ended in zip(keys, counts.tolist(), ends, strict=True):
             open_row += count
@@ -146,6 +146,8 @@ def encode(docs: DataFrame, vocabulary: Broadcast, doc_id: str = "doc_id", text:
                 sizes, whole = _unpacked(row)
                 ends = np.cumsum(sizes).tolist()
                 words = [whole[end - size : end] for end, size in zip(ends, sizes.tolist(), strict=True)]
+                if len(known) > REMEMBERED:
+                    known = {}
                 for word in words:
                     if word not in known:
                         known[word] = np.array(encoder.encode_ordinary(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()

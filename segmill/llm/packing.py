@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmill.llm.pretokens import chunks
-from segmill.llm.vocabularies import piece_encoder
+from segmill.llm.vocabularies import piece_encoder, segments
 from segmill.session import checkpointed
 
 #: Piece groups per length: a length that holds most of the pieces is ranked in so many parts.
@@ -115,22 +115,26 @@ def token_pieces(
 ) -> DataFrame:
     """Pieces of every document's ids and the closing id: ``doc_id, start, length, doc_tokens, ids``.
 
-    ``ids`` holds little-endian unsigned 32-bit numbers.
+    ``ids`` holds little-endian unsigned 32-bit numbers; the added tokens of the
+    vocabulary's file (``<|endoftext|>``) have their own ids, as the library gives them.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(vocabulary.value)
+        raw = vocabulary.value
+        encoder = piece_encoder(raw)
         for batch in batches:
             keys, held = batch.column(0), []
-            rows = enumerate(batch.column(1).to_pylist())
-            for key, texts, ends in chunks(rows):
+            parts = ((row, after, part) for row, text in enumerate(batch.column(1).to_pylist()) for part, after in segments(raw, text or ""))
+            for key, texts, ends in chunks(parts):
                 flat, counts = encoder.ids(texts)
                 out, at = [], 0
-                for (row,), count, ended in zip(key, counts.tolist(), ends, strict=True):
+                for (row, after), count, ended in zip(key, counts.tolist(), ends, strict=True):
                     held.append(flat[at : at + count])
                     at += count
-                    if ended:
+                    if ended and after is not None:
+                        held.append([after])
+                    elif ended:
                         whole = np.concatenate([*held, [closing_id]]).astype("<u4")
                         out += [(row, k, len(whole), whole[k : k + window].tobytes()) for k in range(0, len(whole), window)]
                         held = []

@@ -11,12 +11,10 @@ the last space before a word joins it, and an apostrophe takes its short ending.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import regex
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -24,8 +22,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Characters handled at once; a longer text is cut where a piece certainly starts.
 CHUNK = 1 << 18
-_CERTAIN = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-_SCRAMBLE, _ODD = np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95
+_CERTAIN = regex.compile(r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])")
 
 
 @cache
@@ -39,14 +36,6 @@ def _classes() -> np.ndarray:
     return table
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    ahead, back = (np.full(1 << bits, x % (1 << 64), np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
-    ahead[0] = back[0] = 1
-    return np.multiply.accumulate(ahead), np.multiply.accumulate(back)
-
-
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -76,51 +65,36 @@ def _starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return starts
 
 
-def _hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice, from prefix sums of a polynomial."""
-    bits = max(10, int(len(points)).bit_length())
-    ahead, back = _powers(bits)
-    mixed = (points.astype(np.uint64) + np.uint64(1)) * _SCRAMBLE
-    mixed ^= mixed >> np.uint64(29)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mixed * ahead[: len(points)], out=sums[1:])
-    out = (sums[end] - sums[begin]) * back[begin]
-    out ^= (end - begin).astype(np.uint64) * _SCRAMBLE
-    out ^= out >> np.uint64(32)
-    return out * _SCRAMBLE
-
-
-def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The pieces of some texts, each distinct one once.
 
     Returns the index of each piece's distinct form in order, the number of
-    pieces of each text, the distinct forms, and their hashes. Forms are told
-    apart by 64-bit hashes within one call (about ``CHUNK`` code points).
+    pieces of each text, and the distinct forms, which are told apart by their
+    characters.
     """
     whole = "".join(texts)
     points = code_points(whole)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     if not len(points):
-        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64), [], np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64), []
     first = np.zeros(len(points), bool)
     first[(ends - sizes)[sizes > 0]] = True
     starts = _starts(points, first)
     begin = np.flatnonzero(starts)
-    end = np.append(begin[1:], len(points))
+    end = np.append(begin[1:], len(points)).tolist()
     before = np.concatenate(([0], np.cumsum(starts)))
-    codes, hashes = pd.factorize(_hashes(points, begin, end))
-    seen = np.empty(len(hashes), np.int64)
-    seen[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    forms = [whole[a:b] for a, b in zip(begin[seen].tolist(), end[seen].tolist(), strict=True)]
-    return codes, before[ends] - before[ends - sizes], forms, hashes
+    forms: dict[str, int] = {}
+    number = forms.setdefault
+    codes = [number(whole[a:b], len(forms)) for a, b in zip(begin.tolist(), end, strict=True)]
+    return np.array(codes, np.int64), before[ends] - before[ends - sizes], list(forms)
 
 
 def chunks(rows: Iterable[tuple], limit: int = CHUNK) -> Iterator[tuple[list[tuple], list[str], list[bool]]]:
     """Groups of texts of about ``limit`` characters: their rows, texts, and whether each ends its row.
 
     ``rows`` are tuples whose last item is the text (null: empty). A longer text
-    comes in several parts, cut before a space between two letters.
+    comes in several parts, cut where a run of letters or numbers ends.
     """
     keys, texts, ends, held = [], [], [], 0
     for *key, text in rows:
@@ -148,25 +122,16 @@ def ragged(flat: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np
 
 
 class Lexicon:
-    """Numbers distinct hashes in order of first sight, in two sorted arrays."""
+    """Numbers distinct pieces in order of first sight."""
 
     def __init__(self) -> None:
-        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.numbers: dict[str, int] = {}
 
     def __len__(self) -> int:
-        return len(self.keys)
-
-    def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each of some distinct hashes, and the positions of those not seen before."""
-        place = np.searchsorted(self.keys, hashes)
-        known = np.zeros(len(hashes), bool)
-        if len(self):
-            known = self.keys[np.minimum(place, len(self) - 1)] == hashes
-        new = np.flatnonzero(~known)
-        out = np.empty(len(hashes), np.int64)
-        out[known] = self.numbers[place[known]]
-        out[new] = len(self) + np.arange(len(new))
-        order = new[np.argsort(hashes[new])]
-        self.keys = np.insert(self.keys, place[order], hashes[order])
-        self.numbers = np.insert(self.numbers, place[order], out[order])
-        return out, new
+        return len(self.numbers)
+
+    def number(self, forms: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The number of each of some distinct pieces, and those not seen before."""
+        known, number = len(self), self.numbers.setdefault
+        out = np.array([number(form, len(self.numbers)) for form in forms], np.int64)
+        return out, [form for form, k in zip(forms, out.tolist(), strict=True) if k >= known]

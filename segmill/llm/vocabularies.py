@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import cache
 
 import numpy as np
@@ -11,8 +12,8 @@ import tiktoken
 
 from segmill.llm.pretokens import Lexicon, pieces, ragged
 
-#: Distinct pieces a worker remembers with their ids (about 40 MB).
-REMEMBERED = 1_500_000
+#: Bytes of memory for the pieces that a worker remembers with their ids, and for each piece besides its letters.
+REMEMBERED, _EACH = 20_000_000, 180
 
 
 def _byte_letters() -> dict[str, int]:
@@ -32,6 +33,33 @@ def ranks(raw: bytes) -> dict[bytes, int]:
     return {bytes(letters[x] for x in token): k for token, k in told["model"]["vocab"].items() if k not in special}
 
 
+@cache
+def added_tokens(raw: bytes) -> dict[str, int]:
+    """Strings that a tokenizers JSON file takes out of a text before anything else, and their ids."""
+    if not raw.lstrip().startswith(b"{"):
+        return {}
+    told = json.loads(raw)["added_tokens"]
+    for token in told:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} takes its surroundings into account, which is not supported")
+    return {token["content"]: token["id"] for token in told}
+
+
+@cache
+def _added_pattern(raw: bytes) -> re.Pattern | None:
+    known = added_tokens(raw)
+    return re.compile("|".join(map(re.escape, sorted(known, key=len, reverse=True)))) if known else None
+
+
+def segments(raw: bytes, text: str) -> list[tuple[str, int | None]]:
+    """The parts of a text between added tokens, each with the id of the token after it (the last one: None)."""
+    out, at, pattern = [], 0, _added_pattern(raw)
+    for found in pattern.finditer(text) if pattern else ():
+        out.append((text[at : found.start()], added_tokens(raw)[found[0]]))
+        at = found.end()
+    return [*out, (text[at:] if at else text, None)]
+
+
 @cache
 def encoding(raw: bytes) -> tiktoken.Encoding:
     import public_tokenizers
@@ -61,15 +89,16 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.seen, self.flat, self.ends = Lexicon(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.seen, self.flat, self.ends, self.held = Lexicon(), np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each text."""
-        codes, counts, forms, hashes = pieces(texts)
-        if len(self.seen) + len(forms) > REMEMBERED:
+        codes, counts, forms = pieces(texts)
+        if self.held > REMEMBERED:
             self._forget()
-        numbers, new = self.seen.number(hashes)
-        fresh = [self.encoding.encode_ordinary(forms[k]) for k in new]
+        numbers, new = self.seen.number(forms)
+        self.held += sum(_EACH + 4 * len(form) for form in new)
+        fresh = [self.encoding.encode_ordinary(form) for form in new]
         self.flat = np.concatenate([self.flat, np.array([x for ids in fresh for x in ids], np.uint32)])
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])

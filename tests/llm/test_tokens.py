@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from segmill.llm import bpe, packing, pretokens
 from segmill.llm.tables import vocabulary
-from segmill.llm.vocabularies import PieceEncoder, encoding, ranks
+from segmill.llm.vocabularies import PieceEncoder, encoding, ranks, segments
 from tests.llm.fixtures import TEXTS, documents, nothing, prose
 
 RAW = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
@@ -22,16 +22,32 @@ JSON = open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()
 
 
 def _library():
-    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    known.encode_special_tokens = True
-    return known
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _twins(size):
+    """Two words that polynomial hashes modulo powers of two cannot tell apart: Thue-Morse and its complement."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(size))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_weak_hashes_confuse(spark, size):
+    pair = list(_twins(size))
+    assert len(pretokens.pieces(pair)[2]) == 2
+    known, encoder = encoding(RAW), PieceEncoder(RAW)
+    assert encoder.ids(pair)[0].tolist() == [x for t in pair for x in known.encode_ordinary(t)]
+    docs = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string").repartition(1)
+    shared = vocabulary(spark, "byte_bpe_50k.tiktoken")
+    got = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(bpe.encode(docs, shared), shared).collect()}
+    assert got == dict(enumerate(pair))
 
 
 def test_pieces_are_the_matches_of_the_pattern():
     rng = random.Random(3)
     letters = [*"abstmdrevl''  \n\t 12é½²中٣ _-", "\x1c", "\x85", "　", "\U0001d4b3", "'s", "'re", "'ll"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in range(5000)]
-    codes, counts, forms, _ = pretokens.pieces(texts)
+    codes, counts, forms = pretokens.pieces(texts)
     found = [forms[k] for k in codes]
     pattern = regex.compile(public_tokenizers.PATTERN)
     for text, end, count in zip(texts, np.cumsum(counts), counts, strict=True):
@@ -48,12 +64,17 @@ def test_long_texts_are_cut_where_a_piece_starts():
 
 def test_ids_equal_the_tokenizers_library(monkeypatch):
     assert ranks(JSON) == ranks(RAW)
-    monkeypatch.setattr("segmill.llm.vocabularies.REMEMBERED", 50)
+    monkeypatch.setattr("segmill.llm.vocabularies.REMEMBERED", 5000)
     encoder, library = PieceEncoder(JSON), _library()
-    for texts in ([x or "" for x in TEXTS], [prose(k, 200) for k in range(20)]):
-        flat, counts = encoder.ids(texts)
-        assert flat.tolist() == [x for e in library.encode_batch(texts, add_special_tokens=False) for x in e.ids]
-        assert counts.sum() == len(flat)
+    added = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>", "<|endoftext|  ", "a  <|endoftext|>  b"]
+    for texts in ([x or "" for x in TEXTS], added, [prose(k, 200) for k in range(20)]):
+        for text in texts:
+            got = []
+            for part, after in segments(JSON, text):
+                flat, counts = encoder.ids([part])
+                assert counts.sum() == len(flat)
+                got += [*flat.tolist(), *([] if after is None else [after])]
+            assert got == library.encode(text, add_special_tokens=False).ids
 
 
 def test_encode_and_decode(spark, monkeypatch):
@@ -119,7 +140,7 @@ def test_bulk_best_fit_equals_piece_by_piece(seed):
 
 
 def test_packed_documents(spark):
-    docs = documents(spark, [prose(5, 300)] * 40)
+    docs = documents(spark, [prose(5, 300)] * 40 + ["a <|endoftext|> b", "x  <|endoftext|>"])
     pieces = packing.token_pieces(docs, vocabulary(spark, "byte_bpe_50k.json"), window=64)
     packed = packing.pack(pieces, ["doc_id", "start", "ids"], window=64).collect()
     library, texts = _library(), docs.select("doc_id", "text").collect()
