@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.llm.bpe import decode, encode
+from segmill.llm.centroids import cluster, with_inertia
 from segmill.llm.chat import format_turns, read_back
 from segmill.llm.embeddings import near_duplicates as near_embeddings
 from segmill.llm.hilbert import hilbert_shards, text_rank
+from segmill.llm.integers import digest
 from segmill.llm.lm_scoring import cross_entropy_difference
 from segmill.llm.packing import pack, token_pieces
 from segmill.llm.pii import PATTERNS, find, span_list
 from segmill.llm.quality import judge
 from segmill.llm.simhash import near_duplicates
 from segmill.llm.tables import table, vocabulary
+from segmill.llm.token_counts import token_counts
 from segmill.llm.urls import host_and_path, judge_urls, listed, split_rule
+from segmill.llm.vector_codes import compress, with_label_error
 from segmill.session import checkpointed
 
 
@@ -117,6 +121,24 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every vector of 64 components, after five rounds with 40 centroids."""
+    return with_inertia(*cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they are more than 512."""
+    counts = token_counts(table(spark, sf_dir, "documents"), vocabulary(spark, "byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four bytes of all vectors, from codebooks of 256 entries trained in four rounds."""
+    found, books = compress(table(spark, sf_dir, "embeddings"))
+    hexed = with_label_error(found).withColumn("code", F.lower(F.hex("code")))
+    return hexed.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -128,4 +150,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat": op9_chat,
     "op10_embeddings": op10_embeddings,
+    "op11_centroids": op11_centroids,
+    "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
