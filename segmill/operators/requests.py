@@ -144,46 +144,35 @@ def split_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return usable.filter("event = 'request'"), usable.filter("event = 'response'")
 
 
-def recent_requests(requests: DataFrame, responses: DataFrame, within: str = "10 minutes") -> DataFrame:
-    """Media responses with each request of their id seen shortly before: ``req_ts`` and ``request_headers``.
+def join_request_response(
+    requests: DataFrame, responses: DataFrame, within: str = "10 minutes", completions: DataFrame | None = None
+) -> DataFrame:
+    """Give media responses the headers of their last request, if it was seen shortly before.
 
-    ``requests`` may limit a request's turn by ``next_ts``, the time of the next one with its id.
+    A request id may come several times, by redirects; of requests at one time the one
+    whose headers are last as JSON text counts. ``completions`` (``request_id, ts``) end a
+    request: a later response does not find it any more.
     """
-    req = requests.select(
-        F.col("request_id").alias("req_id"),
-        F.col("ts").alias("req_ts"),
-        F.col("headers").alias("request_headers"),
-        *[c for c in ("next_ts",) if c in requests.columns],
-    )
+    known = requests.filter(F.col("request_id").isNotNull()).groupBy("request_id", "ts")
+    turns = known.agg(F.max_by("headers", F.coalesce(F.to_json("headers"), F.lit(""))).alias("request_headers"))
     media = responses.filter(is_media_type(F.col("content_type")))
+    if completions is not None:
+        ends = completions.filter(F.col("request_id").isNotNull()).select("request_id", "ts", F.lit(True).alias("done"))
+        turns = turns.withColumn("done", F.lit(False)).unionByName(ends.distinct(), allowMissingColumns=True)
+    else:
+        turns = turns.withColumn("done", F.lit(False))
+    order = Window.partitionBy("request_id").orderBy("ts", "done")
+    turns = turns.withColumns({"next_ts": F.lead("ts").over(order), "next_done": F.lead("done").over(order)}).filter(~F.col("done"))
+    turns = turns.select(F.col("request_id").alias("req_id"), F.col("ts").alias("req_ts"), "request_headers", "next_ts", "next_done")
+    # A response at the time of the next request belongs to that one, one at the time of the completion to this one.
+    before_next = F.col("next_ts").isNull() | (F.col("ts") < F.col("next_ts")) | (F.col("next_done") & (F.col("ts") == F.col("next_ts")))
     recent = (
         (F.col("request_id") == F.col("req_id"))
         & (F.col("ts") >= F.col("req_ts"))
         & (F.col("ts") <= F.col("req_ts") + F.expr(f"interval {within}"))
+        & before_next
     )
-    if "next_ts" in req.columns:
-        recent = recent & (F.col("next_ts").isNull() | (F.col("ts") < F.col("next_ts")))
-    return media.join(req, recent, "left").drop("req_id", "next_ts")
-
-
-def join_request_response(requests: DataFrame, responses: DataFrame, within: str = "10 minutes") -> DataFrame:
-    """Give media responses the headers of their last request, if it was seen shortly before.
-
-    A request id may come several times, by redirects; of requests at one time the one
-    whose headers are last as JSON text counts.
-    """
-    known = requests.filter(F.col("request_id").isNotNull()).groupBy("request_id", "ts")
-    once = known.agg(F.max_by("headers", F.coalesce(F.to_json("headers"), F.lit(""))).alias("headers"))
-    turns = once.withColumn("next_ts", F.lead("ts").over(Window.partitionBy("request_id").orderBy("ts")))
-    return recent_requests(turns, responses, within).drop("req_ts")
-
-
-def newest_request(rows: DataFrame, *keys: str) -> DataFrame:
-    """Of the requests of a response, which ``keys`` name, the last: ``join_request_response`` over a stream's sink."""
-    rest = [c for c in rows.columns if c not in (*keys, "req_ts")]
-    newest = F.struct("req_ts", F.coalesce(F.to_json("request_headers"), F.lit("")))
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("_last"))
-    return last.select(*keys, "_last.*")
+    return media.join(turns, recent, "left").drop("req_id", "req_ts", "next_ts", "next_done")
 
 
 def stream_candidates(events: DataFrame) -> DataFrame:

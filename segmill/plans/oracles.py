@@ -701,10 +701,7 @@ WHERE complete OR best < 900"""
 
 SQL["join_request_response"] = with_views("v_requests") + """
 SELECT seq, tab_id, url, CASE WHEN seq % 10 <> 0 THEN 'agent/' || page_id END AS user_agent FROM v_requests WHERE kind = 'candidate'"""
-# Unmatched responses not before the last watermark (10 minutes behind the newest request) still wait when the input ends.
-SQL["join_request_response_stream"] = with_views("v_requests") + """
-SELECT seq, tab_id, url, CASE WHEN seq % 10 <> 0 THEN 'agent/' || page_id END AS user_agent FROM v_requests WHERE kind = 'candidate'
-  AND (seq % 10 <> 0 OR ts + INTERVAL 20 MINUTE < (SELECT max(ts) FROM v_requests WHERE kind = 'candidate') - INTERVAL 10 MINUTE)"""
+SQL["join_request_response_stream"] = SQL["join_request_response"]
 
 SQL["task_state"] = with_views("v_task_events") + """,
 marks AS (SELECT task_id, min(seq) FILTER (WHERE kind IN ('failed', 'cancelled')) AS ended, min(seq) FILTER (WHERE kind = 'cancel') AS asked,
@@ -724,6 +721,21 @@ FROM (SELECT *, CASE WHEN kind = 'update' THEN 'running' WHEN kind = 'cancel' TH
 GROUP BY task_id"""
 SQL["task_state_stream"] = f"SELECT task_id, status, stage, progress, downloaded_bytes FROM ({SQL['task_state'].strip()})"
 
+# Rows arrive in three turns; one is late if its time is not after the watermark that the turns before left.
+_LATE = """,
+arriving AS (SELECT *, CASE WHEN seq % 41 = 0 THEN INTERVAL 12 DAY WHEN seq % 3 = 0 THEN INTERVAL 9 MINUTE ELSE INTERVAL 0 MINUTE END + ts AS arrives
+  FROM v_task_events),
+span AS (SELECT epoch_us(min(ts)) AS first, (epoch_us(max(ts)) - epoch_us(min(ts))) // 3 AS third FROM v_task_events),
+turned AS (SELECT *, CASE WHEN epoch_us(arrives) < first + third THEN 0 WHEN epoch_us(arrives) < first + 2 * third THEN 1 ELSE 2 END AS turn
+  FROM arriving, span),
+marked AS (SELECT *, epoch_us(ts) // 1000 AS at_ms,
+  (SELECT max(epoch_us(e.ts) // 1000) - 600000 FROM turned e WHERE e.turn < t.turn) AS passed FROM turned t),
+on_time AS (SELECT * EXCLUDE (passed) FROM marked WHERE passed IS NULL OR at_ms > passed)"""
+SQL["late_task_events"] = with_views("v_task_events") + _LATE + " SELECT task_id, seq, at_ms FROM marked WHERE at_ms <= passed"
+SQL["task_state_late_stream"] = with_views("v_task_events") + _LATE + SQL["task_state"].removeprefix(with_views("v_task_events")).replace(
+    "v_task_events", "on_time"
+)
+
 SQL["job_state"] = """
 WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS owner, 'j' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 14) AS job_id, event_id AS seq,
     CASE WHEN event_type = 'signup' THEN 'create' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'delete' ELSE 'patch' END AS kind,

@@ -595,6 +595,14 @@ def task_state_stream(spark, d):
     return runs.task_run(spark, d).select(*TASK_COLUMNS[:-1])
 
 
+def task_state_late_stream(spark, d):
+    return runs.late_task_run(spark, d)[0].select(*TASK_COLUMNS)
+
+
+def late_task_events(spark, d):
+    return runs.late_task_run(spark, d)[1]
+
+
 def job_state_stream(spark, d):
     return runs.job_run(spark, d).select(
         "owner", "job_id", _long("rank"), "created_at", "status", "stage", "progress", "task_id"

@@ -1,10 +1,9 @@
 """Keyed state over event streams: stream candidates per tab, tasks, jobs, submissions.
 
-Use with the RocksDB state store. How many rows of one key meet in a batch is set by
-the source's trigger limits. Every batch emits the full state of the keys it changed
-(update mode). Of a task or job the row with the highest ``last_seq`` is the state; a
-batch of late rows only emits nothing. Of a tab the rows with the highest ``version``
-are, since late rows still count there.
+Use with the RocksDB state store. Rows may come late by the watermark's delay and in any
+order; see ``ordered`` for what waits, what is final and what is audited. Every batch
+emits the state of the keys it changed (update mode), rows that still wait included; of a
+key the rows with the highest ``version`` are the state. Audit rows have ``late`` set.
 """
 
 from __future__ import annotations
@@ -18,20 +17,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from segmill.operators.requests import MAX_CANDIDATES, media_priority
 from segmill.schemas import TASK_COUNTERS
+from segmill.streaming.ordered import LIFETIME_MS, STATE_STORE, WATERMARK, InOrder, event_time, in_event_time, plain
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-# State lifetime for continuous runs. With a lifetime the engine keeps scheduling batches to
-# expire state, so a run over what is available now is started without one.
-STATE_TTL_MS = 24 * 3_600_000
-
-
-def _time_mode(ttl_ms: int | None) -> str:
-    return "None" if ttl_ms is None else "ProcessingTime"
-
-
-def _missing(value) -> bool:
-    return value is None or value != value
+__all__ = ["STATE_STORE", "job_state_stream", "submit_once_stream", "task_state_stream", "track_stream_candidates"]
 
 
 class CandidateTracker(StatefulProcessor):
@@ -41,32 +29,39 @@ class CandidateTracker(StatefulProcessor):
     are taken frame by frame; a batch cuts to the best once all its rows are merged.
     """
 
-    def __init__(self, keep: int, ttl_ms: int | None):
-        self.keep, self.ttl_ms = keep, ttl_ms
+    COLUMNS = ["tab_id", "last_seq", "version", "rank", "url", "content_type", "headers", "priority", "detected_ms", "late", "at_ms"]
+
+    def __init__(self, keep: int, lifetime_ms: int | None):
+        self.keep, self.lifetime_ms = keep, lifetime_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.reset = handle.getValueState("reset", "seq bigint", self.ttl_ms)
-        self.seen = handle.getValueState("seen", "last_seq bigint, version bigint", self.ttl_ms)
+        self.handle = handle
+        self.reset = handle.getValueState("reset", "seq bigint")
+        self.seen = handle.getValueState("seen", "last_seq bigint, version bigint, last_ms bigint, timer_ms bigint")
         self.urls = handle.getMapState(
             "urls",
             "url string",
             "seq bigint, detected_ms bigint, priority int, content_type string, headers string, headers_seq bigint",
-            self.ttl_ms,
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = max(0, timerValues.getCurrentWatermarkInMs())
         reset = self.reset.get()[0] if self.reset.exists() else -1
         known = {entry[0][0]: tuple(entry[1]) for entry in self.urls.iterator()}
         before = dict(known)
-        last, version = self.seen.get() if self.seen.exists() else (-1, 0)
+        last, version, newest_ms, timer = self.seen.get() if self.seen.exists() else (-1, 0, -1, None)
+        taken = False
         for frame in rows:
-            for row in frame.itertuples(index=False):
-                last = max(last, int(row.seq))
+            late = frame[frame["at_ms"] <= passed]
+            if len(late):
+                yield self._frame([(*key, int(s), 0, -1, None, None, None, 0, None, True, int(t)) for s, t in zip(late["seq"], late["at_ms"])])
+            for row in frame[frame["at_ms"] > passed].itertuples(index=False):
+                taken, last, newest_ms = True, max(last, int(row.seq)), max(newest_ms, int(row.at_ms))
                 if row.seq <= reset:
                     continue
                 if row.kind == "reset":
-                    reset = row.seq
-                    # A late reset also takes the headers seen before it.
+                    reset = int(row.seq)
+                    # A reset that comes after later rows also takes the headers seen before it.
                     known = {
                         url: item if item[5] > reset else (*item[:4], None, -1)
                         for url, item in known.items()
@@ -75,11 +70,13 @@ class CandidateTracker(StatefulProcessor):
                     continue
                 old = known.get(row.url, (-1, 0, row.priority, None, None, -1))
                 headers, headers_seq = old[4], old[5]
-                if not _missing(row.headers) and row.seq > headers_seq:
-                    headers, headers_seq = row.headers, row.seq
-                newest = (row.seq, row.detected_ms, row.priority, None if _missing(row.content_type) else row.content_type)
+                if plain(row.headers) is not None and row.seq > headers_seq:
+                    headers, headers_seq = row.headers, int(row.seq)
+                newest = (int(row.seq), int(row.at_ms), int(row.priority), plain(row.content_type))
                 seen = newest if row.seq > old[0] else old[:4]
                 known[row.url] = (*seen, headers, headers_seq)
+        if not taken:
+            return
         ranked = sorted(known.items(), key=lambda item: (-item[1][2], -item[1][1], -item[1][0]))[: self.keep]
         known = dict(ranked)
         for url in before.keys() - known.keys():
@@ -90,26 +87,42 @@ class CandidateTracker(StatefulProcessor):
         if reset >= 0:
             self.reset.update((reset,))
         version += 1
-        self.seen.update((last, version))
+        if timer is None and self.lifetime_ms is not None:
+            timer = newest_ms + self.lifetime_ms
+            self.handle.registerTimer(timer)
+        self.seen.update((last, version, newest_ms, timer))
         # Rank 0 carries the number of candidates, so an emptied tab is visible too.
-        out = [(key[0], last, version, 0, None, None, None, len(ranked), None)]
+        out = [(*key, last, version, 0, None, None, None, len(ranked), None, False, None)]
         out += [
-            (key[0], last, version, rank, url, item[3], item[4], item[2], item[1])
+            (*key, last, version, rank, url, item[3], item[4], item[2], item[1], False, None)
             for rank, (url, item) in enumerate(ranked, start=1)
         ]
-        yield pd.DataFrame(
-            out,
-            columns=["tab_id", "last_seq", "version", "rank", "url", "content_type", "headers", "priority", "detected_ms"],
-        ).astype({"detected_ms": "Int64"})
+        yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.COLUMNS).astype({"detected_ms": "Int64", "at_ms": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, version, newest_ms, _ = self.seen.get()
+        if newest_ms + self.lifetime_ms <= timerValues.getCurrentWatermarkInMs():
+            self.seen.clear(), self.reset.clear(), self.urls.clear()
+        else:
+            self.handle.registerTimer(newest_ms + self.lifetime_ms)
+            self.seen.update((last, version, newest_ms, newest_ms + self.lifetime_ms))
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def track_stream_candidates(events: DataFrame, keep: int = MAX_CANDIDATES, ttl_ms: int | None = None) -> DataFrame:
-    """Stream form of ``stream_candidates`` and ``rank_stream_candidates``."""
+def track_stream_candidates(
+    events: DataFrame, keep: int = MAX_CANDIDATES, delay: str = WATERMARK, lifetime_ms: int | None = LIFETIME_MS
+) -> DataFrame:
+    """Stream form of ``stream_candidates`` and ``rank_stream_candidates``; a silent tab is forgotten."""
     filled = F.size("headers") > 0
-    narrow = events.select(
+    narrow = event_time(
+        events,
+        delay,
         "tab_id",
         F.col("seq").cast("bigint").alias("seq"),
         "kind",
@@ -117,22 +130,12 @@ def track_stream_candidates(events: DataFrame, keep: int = MAX_CANDIDATES, ttl_m
         "content_type",
         F.when(filled, F.to_json("headers")).alias("headers"),
         F.coalesce(media_priority(F.col("url")), F.lit(0)).alias("priority"),
-        F.unix_millis("ts").alias("detected_ms"),
     )
-    return narrow.groupBy("tab_id").transformWithStateInPandas(
-        statefulProcessor=CandidateTracker(keep, ttl_ms),
-        outputStructType="tab_id bigint, last_seq bigint, version bigint, rank int, url string, content_type string, "
-        "headers string, priority int, detected_ms bigint",
-        outputMode="Update",
-        timeMode=_time_mode(ttl_ms),
+    schema = (
+        "tab_id bigint, last_seq bigint, version bigint, rank int, url string, content_type string, "
+        "headers string, priority int, detected_ms bigint, late boolean, at_ms bigint"
     )
-
-
-TASK_STATE = (
-    "status string, stage string, progress double, "
-    + ", ".join(f"{name} double" for name in TASK_COUNTERS)
-    + ", cancel_asked boolean, last_seq bigint"
-)
+    return in_event_time(narrow, ["tab_id"], CandidateTracker(keep, lifetime_ms), schema, "Update")
 
 
 def _advance_task(state: dict, kind: str, stage, progress, details: dict) -> None:
@@ -144,7 +147,7 @@ def _advance_task(state: dict, kind: str, stage, progress, details: dict) -> Non
     if kind == "update":
         if state["stage"] != stage:
             state.update(dict.fromkeys(TASK_COUNTERS))
-        percent = None if _missing(progress) else min(100.0, max(0.0, round(progress, 1)))
+        percent = None if plain(progress) is None else min(100.0, max(0.0, round(progress, 1)))
         state.update(status="running", stage=stage, progress=percent)
         state.update({name: details[name] for name in TASK_COUNTERS if name in details})
     elif kind == "cancel":
@@ -159,62 +162,94 @@ def _advance_task(state: dict, kind: str, stage, progress, details: dict) -> Non
         state.update(dict.fromkeys(TASK_COUNTERS), status="cancelled", stage="cancelled", progress=None)
 
 
-class TaskTracker(StatefulProcessor):
-    FIELDS = ("status", "stage", "progress", *TASK_COUNTERS, "cancel_asked", "last_seq")
+class Folded(InOrder):
+    """One record per key that each row changes in turn.
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.task = handle.getValueState("task", TASK_STATE, self.ttl_ms)
+    The record holds what is final. Batches emit the record with the waiting rows taken
+    too, so an answer need not wait for the watermark; a row that comes out of order gives
+    a new version.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = dict.fromkeys(self.FIELDS)
-        state.update(status="pending", stage="preparing", cancel_asked=False, last_seq=-1)
-        if self.task.exists():
-            state = dict(zip(self.FIELDS, self.task.get()))
-        known = state["last_seq"]
-        events = pd.concat(list(rows)).sort_values("seq")
-        for row in events.itertuples(index=False):
-            if row.seq <= state["last_seq"]:
-                continue
-            details = {
-                name: None if getattr(row, f"null_{name}") else getattr(row, name)
-                for name in TASK_COUNTERS
-                if getattr(row, f"has_{name}")
-            }
-            _advance_task(state, row.kind, row.stage, row.progress, details)
-            state["last_seq"] = int(row.seq)
-        if state["last_seq"] == known:
-            return
-        self.task.update(tuple(state[name] for name in self.FIELDS))
-        shown = [name for name in self.FIELDS if name != "cancel_asked"]
-        frame = pd.DataFrame([[key[0], *(state[name] for name in shown)]], columns=["task_id", *shown])
-        yield frame.astype({name: "Float64" for name in ("progress", *TASK_COUNTERS)})
+    FIELDS: dict[str, str] = {}
+    KEYS: tuple[str, ...] = ()
+    START: dict = {}
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.record = handle.getValueState("record", ", ".join(f"{name} {kind}" for name, kind in self.FIELDS.items()))
+
+    @classmethod
+    def schema(cls, keys: str) -> str:
+        return f"{keys}, " + ", ".join(f"{name} {kind}" for name, kind in cls.FIELDS.items()) + ", late boolean, at_ms bigint"
+
+    def advance(self, state: dict, row: dict) -> None:
+        raise NotImplementedError
+
+    def _after(self, rows: list[tuple]) -> dict:
+        state = dict.fromkeys(self.FIELDS) | self.START | {"last_seq": -1, "version": 0}
+        if self.record.exists():
+            state = dict(zip(self.FIELDS, self.record.get(), strict=True))
+        for values in rows:
+            if values[1] > state["last_seq"]:  # a repeated row counts once
+                self.advance(state, dict(zip(self.ROW, values, strict=True)))
+                state["last_seq"] = values[1]
+        return state
+
+    def _frame(self, key: tuple, states: list[dict], late: list[int | None]) -> pd.DataFrame:
+        rows = [[*key, *(state.get(name) for name in self.FIELDS), at is not None, at] for state, at in zip(states, late, strict=True)]
+        frame = pd.DataFrame(rows, columns=[*self.KEYS, *self.FIELDS, "late", "at_ms"])
+        numbers = {name: {"double": "Float64", "bigint": "Int64"}[kind] for name, kind in self.FIELDS.items() if kind in ("double", "bigint")}
+        flags = {name: "boolean" for name, kind in self.FIELDS.items() if kind == "boolean"}
+        return frame.astype(numbers | flags | {"at_ms": "Int64"})
+
+    def apply(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        self._write(self._after(rows))
+        return iter(())  # shown already while the rows waited
+
+    def _write(self, state: dict) -> None:
+        self.record.update(tuple(state[name] for name in self.FIELDS))
+
+    def preview(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        held = self._after([])
+        held["version"] += 1
+        self._write(held)
+        yield self._frame(key, [self._after(rows)], [None])
+
+    def audit(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        yield self._frame(key, [{"last_seq": row[1]} for row in rows], [row[0] for row in rows])
+
+    def forget(self) -> None:
+        self.record.clear()
+
+
+class TaskTracker(Folded):
+    ROW = (
+        {"at_ms": "bigint", "seq": "bigint", "kind": "string", "stage": "string", "progress": "double"}
+        | {f"has_{name}": "boolean" for name in TASK_COUNTERS}
+        | {name: "double" for name in TASK_COUNTERS}
+    )
+    FIELDS = (
+        {"status": "string", "stage": "string", "progress": "double"}
+        | {name: "double" for name in TASK_COUNTERS}
+        | {"cancel_asked": "boolean", "last_seq": "bigint", "version": "bigint"}
+    )
+    KEYS = ("task_id",)
+    START = {"status": "pending", "stage": "preparing", "cancel_asked": False}
 
-    def close(self) -> None:
-        pass
+    def advance(self, state: dict, row: dict) -> None:
+        details = {name: row[name] for name in TASK_COUNTERS if row[f"has_{name}"]}
+        _advance_task(state, row["kind"], row["stage"], row["progress"], details)
 
 
-def task_state_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Stream form of ``task_state``; a row not after the task's last one is late and dropped."""
+def task_state_stream(events: DataFrame, delay: str = WATERMARK, lifetime_ms: int | None = LIFETIME_MS) -> DataFrame:
+    """Stream form of ``task_state``."""
     # Rounded by the engine, as in the batch form; Python rounds decimal ties differently.
     rounded = F.bround("progress", 1)
     columns = ["task_id", F.col("seq").cast("bigint").alias("seq"), "kind", "stage", rounded.alias("progress")]
     for name in TASK_COUNTERS:
         has = F.coalesce(F.map_contains_key("details", name), F.lit(False))
-        value = F.try_element_at("details", F.lit(name))
-        columns += [has.alias(f"has_{name}"), (has & value.isNull()).alias(f"null_{name}"), value.alias(name)]
-    shown = "status string, stage string, progress double, " + ", ".join(f"{n} double" for n in TASK_COUNTERS)
-    return events.select(*columns).groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=TaskTracker(ttl_ms),
-        outputStructType=f"task_id string, {shown}, last_seq bigint",
-        outputMode="Update",
-        timeMode=_time_mode(ttl_ms),
-    )
-
-
-JOB_STATE = "alive boolean, created_at bigint, status string, stage string, progress string, task_id string, last_seq bigint"
+        columns += [has.alias(f"has_{name}"), F.try_element_at("details", F.lit(name)).alias(name)]
+    rows = event_time(events, delay, *columns)
+    return in_event_time(rows, ["task_id"], TaskTracker(lifetime_ms), TaskTracker.schema("task_id string"), "Update")
 
 
 def _advance_job(state: dict, kind: str, created_at, patch: dict) -> None:
@@ -223,92 +258,81 @@ def _advance_job(state: dict, kind: str, created_at, patch: dict) -> None:
         state.update(dict.fromkeys(("status", "stage", "progress", "task_id")))
         state.update(alive=True, created_at=created_at, **patch)
     elif kind == "delete":
-        state.update(alive=False)
+        state.update(alive=False)  # stays as a tombstone for the key's lifetime
     elif kind == "patch" and state["alive"]:
         if state["stage"] == "cancelling" and patch.get("stage") != "cancelling":
             patch = {"task_id": patch["task_id"]} if not state["task_id"] and patch.get("task_id") else {}
         state.update(patch)
 
 
-class JobTracker(StatefulProcessor):
-    FIELDS = ("alive", "created_at", "status", "stage", "progress", "task_id", "last_seq")
+class JobTracker(Folded):
     PATCH = ("status", "stage", "progress", "task_id")
+    ROW = (
+        {"at_ms": "bigint", "seq": "bigint", "kind": "string", "created_at": "bigint"}
+        | {f"has_{name}": "boolean" for name in PATCH}
+        | {name: "string" for name in PATCH}
+    )
+    FIELDS = {"alive": "boolean", "created_at": "bigint"} | {name: "string" for name in PATCH} | {"last_seq": "bigint", "version": "bigint"}
+    KEYS = ("owner", "job_id")
+    START = {"alive": False}
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.job = handle.getValueState("job", JOB_STATE, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = dict.fromkeys(self.FIELDS)
-        state.update(alive=False, last_seq=-1)
-        if self.job.exists():
-            state = dict(zip(self.FIELDS, self.job.get()))
-        known = state["last_seq"]
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            if row.seq <= state["last_seq"]:
-                continue
-            patch = {
-                name: None if _missing(getattr(row, name)) else getattr(row, name)
-                for name in self.PATCH
-                if getattr(row, f"has_{name}")
-            }
-            _advance_job(state, row.kind, None if _missing(row.created_at) else int(row.created_at), patch)
-            state["last_seq"] = int(row.seq)
-        if state["last_seq"] == known:
-            return
-        # A deleted job stays as a tombstone until its state expires.
-        self.job.update(tuple(state[name] for name in self.FIELDS))
-        frame = pd.DataFrame([[*key, *(state[name] for name in self.FIELDS)]], columns=["owner", "job_id", *self.FIELDS])
-        yield frame.astype({"created_at": "Int64"})
-
-    def close(self) -> None:
-        pass
+    def advance(self, state: dict, row: dict) -> None:
+        patch = {name: row[name] for name in self.PATCH if row[f"has_{name}"]}
+        _advance_job(state, row["kind"], row["created_at"], patch)
 
 
-def job_state_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def job_state_stream(events: DataFrame, delay: str = WATERMARK, lifetime_ms: int | None = LIFETIME_MS) -> DataFrame:
     """Stream form of ``job_state`` without the retention, which is a batch top-k over the sink."""
     columns = ["owner", "job_id", F.col("seq").cast("bigint").alias("seq"), "kind", F.col("created_at").cast("bigint").alias("created_at")]
     for name in JobTracker.PATCH:
         has = F.coalesce(F.map_contains_key("patch", name), F.lit(False))
         columns += [has.alias(f"has_{name}"), F.try_element_at("patch", F.lit(name)).alias(name)]
-    return events.select(*columns).groupBy("owner", "job_id").transformWithStateInPandas(
-        statefulProcessor=JobTracker(ttl_ms),
-        outputStructType=f"owner string, job_id string, {JOB_STATE}",
-        outputMode="Update",
-        timeMode=_time_mode(ttl_ms),
-    )
+    rows = event_time(events, delay, *columns)
+    schema = JobTracker.schema("owner string, job_id string")
+    return in_event_time(rows, ["owner", "job_id"], JobTracker(lifetime_ms), schema, "Update")
 
 
-class SubmitTracker(StatefulProcessor):
-    """The task that a client id got first; in a batch the lowest sequence number is first."""
+class SubmitTracker(InOrder):
+    """The task that a client id got first, by time and sequence number; answers are final."""
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    ROW = {"at_ms": "bigint", "seq": "bigint", "task_id": "string"}
+    COLUMNS = ["client_request_id", "last_seq", "task_id", "effective_task_id", "late", "at_ms"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "task_id string", self.ttl_ms)
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "task_id string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        requests = pd.concat(list(rows)).sort_values("seq")
+    def apply(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if not self.first.exists():
-            self.first.update((requests["task_id"].iloc[0],))
-        yield requests[["seq", "client_request_id", "task_id"]].assign(effective_task_id=self.first.get()[0])
+            self.first.update((rows[0][2],))
+        task = self.first.get()[0]
+        yield self._frame([(*key, seq, own, task, False, None) for _, seq, own in rows])
 
-    def close(self) -> None:
-        pass
+    def audit(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        yield self._frame([(*key, seq, own, None, True, at) for at, seq, own in rows])
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.COLUMNS).astype({"at_ms": "Int64"})
+
+    def forget(self) -> None:
+        self.first.clear()
 
 
-def submit_once_stream(requests: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Stream form of ``submit_once``: an id's later requests get the task of its first, for the state's lifetime."""
-    columns = [F.col("seq").cast("bigint").alias("seq"), "client_request_id", "task_id"]
-    rows = requests.select(*columns)
+def submit_once_stream(requests: DataFrame, delay: str = WATERMARK, lifetime_ms: int | None = LIFETIME_MS) -> DataFrame:
+    """Stream form of ``submit_once``: an id's later requests get the task of its first, as long as the id is remembered.
+
+    Requests with an id are answered once the watermark has passed them, so an earlier one
+    that comes later still counts as the first; those without are answered at once.
+    """
+    rows = event_time(requests, delay, F.col("seq").cast("bigint").alias("seq"), "client_request_id", "task_id")
     has_id = F.coalesce("client_request_id", F.lit("")) != ""
-    named = rows.filter(has_id).groupBy("client_request_id").transformWithStateInPandas(
-        statefulProcessor=SubmitTracker(ttl_ms),
-        outputStructType="seq bigint, client_request_id string, task_id string, effective_task_id string",
-        outputMode="Append",
-        timeMode=_time_mode(ttl_ms),
+    schema = "client_request_id string, last_seq bigint, task_id string, effective_task_id string, late boolean, at_ms bigint"
+    named = in_event_time(rows.filter(has_id), ["client_request_id"], SubmitTracker(lifetime_ms), schema, "Append")
+    alone = rows.filter(~has_id).select(
+        "client_request_id",
+        F.col("seq").alias("last_seq"),
+        "task_id",
+        F.col("task_id").alias("effective_task_id"),
+        F.lit(False).alias("late"),
+        F.lit(None).cast("bigint").alias("at_ms"),
     )
-    return named.unionByName(rows.filter(~has_id).withColumn("effective_task_id", F.col("task_id")))
+    return named.unionByName(alone).withColumnRenamed("last_seq", "seq")

@@ -5,9 +5,15 @@ from pyspark.sql import functions as F
 
 from segmill.operators import requests as req
 from segmill.operators import tasks as tsk
-from segmill.streaming import runs, state
+from segmill.streaming import joins, ordered, runs, state
 
 EVENTS = "task_id string, seq bigint, kind string, stage string, progress double, details map<string,double>"
+TIMED = EVENTS + ", ts timestamp"
+START = datetime.datetime(2024, 1, 1)
+
+
+def minute(m):
+    return START + datetime.timedelta(minutes=m)
 
 
 def task_rows():
@@ -35,17 +41,68 @@ def test_task_state_batch_equals_the_step_by_step_rule(spark):
         ), r.task_id
 
 
-def test_streams_equal_batch(spark, tmp_path):
-    rows = task_rows()
-    df = spark.createDataFrame(rows, EVENTS)
-    # Two files, so that state is carried from batch to batch.
-    for part, cond in (("0", "seq < 8"), ("1", "seq >= 8")):
-        df.filter(cond).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = runs._newest(runs.run_to_table(state.task_state_stream(stream), "update", state.STATE_STORE), "task_id")
-    columns = ["task_id", "status", "stage", "progress", "downloaded_bytes", "eta_seconds"]
-    batch = tsk.task_state(df).select(*columns)
-    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, batch.collect()))
+TASK_COLUMNS = ["task_id", "status", "stage", "progress", "downloaded_bytes", "eta_seconds"]
+
+
+def turned(rows, late, seed):
+    """Rows in order of time with their turn: a third each; some come a turn later, ``late`` of them long after the watermark.
+
+    A turn lasts 9 minutes, so what comes in the next turn is at most 10 minutes behind it.
+    """
+    rng = random.Random(seed)
+    out, lost = [], []
+    for row in rows:
+        minutes = (row[-1] - START).total_seconds() / 60
+        turn = min(2, int(minutes // 9))
+        shift = rng.random()
+        if turn == 0 and minutes < 4 and shift < late:
+            out.append((*row, 2))  # two turns later: the watermark stands at 8 minutes then
+            lost.append(row)
+        else:
+            out.append((*row, min(2, turn + (shift > 0.6 and minutes % 9 > 1))))
+    return out, lost
+
+
+def test_late_rows_within_the_watermark_equal_batch_and_later_ones_are_audited(spark):
+    """Three batches, rows up to ten minutes late: states equal the batch form; the rest is in the audit."""
+    rows = [(*row, minute(row[1])) for row in task_rows()]
+    for late in (0.0, 0.3):
+        arrived, lost = turned(rows, late, 4)
+        df = spark.createDataFrame(arrived, TIMED + ", turn int").repartition(3)
+        out = runs.run_in_turns(df, "turn", 3, state.task_state_stream, "update")
+        got = runs._newest(out, "task_id").select(*TASK_COLUMNS).collect()
+        kept = [row for row in rows if row not in lost]
+        batch = tsk.task_state(spark.createDataFrame(kept, TIMED)).select(*TASK_COLUMNS).collect()
+        assert sorted(map(str, got)) == sorted(map(str, batch))
+        audit = ordered.late_rows(out, "task_id").collect()
+        assert sorted((r.task_id, r.seq) for r in audit) == sorted((row[0], row[1]) for row in lost)
+        assert bool(lost) == (late > 0)
+
+
+def test_jobs_over_late_batches_equal_batch(spark):
+    schema = "owner string, job_id string, seq bigint, kind string, created_at bigint, patch map<string,string>, ts timestamp"
+    rng, rows = random.Random(9), []
+    for seq in range(240):
+        kind = rng.choice(["create"] + ["patch"] * 6 + ["delete"])
+        fields = {"stage": rng.choice(["new", "work", "cancelling"]), "task_id": f"t{seq}", "status": rng.choice("xy"), "progress": str(seq)}
+        patch = {k: x for k, x in fields.items() if rng.random() < 0.4}
+        rows.append((f"o{seq % 2}", f"j{rng.randrange(6)}", seq, kind, seq, patch, minute(seq / 10)))
+    arrived, lost = turned(rows, 0.0, 6)
+    assert not lost
+    out = runs.run_in_turns(spark.createDataFrame(arrived, schema + ", turn int"), "turn", 3, state.job_state_stream, "update")
+    alive = runs._newest(out, "owner", "job_id").filter("alive")
+    columns = ["owner", "job_id", "created_at", *tsk.JOB_FIELDS]
+    # the batch form shows an empty task id as missing, and forgets fields of an earlier life of the job
+    batch = tsk.job_state(spark.createDataFrame(rows, schema)).select(*columns).collect()
+    assert sorted(map(str, alive.select(*columns).collect())) == sorted(map(str, batch)) and len(batch) > 3
+
+
+def test_a_silent_key_is_forgotten(spark):
+    rows = [("t", 1, "update", "a", 1.0, None, minute(0), 0), ("u", 2, "update", "a", 1.0, None, minute(500), 1), ("t", 3, "cancel", "a", None, None, minute(501), 2)]
+    df = spark.createDataFrame(rows, TIMED + ", turn int")
+    out = runs.run_in_turns(df, "turn", 3, lambda s: state.task_state_stream(s, lifetime_ms=3_600_000), "update")
+    got = {r.task_id: (r.stage, r.version) for r in runs._newest(out, "task_id").filter("last_seq <> 1").collect()}
+    assert got["t"] == ("cancelling", 1)  # its first version again: nothing of the first life is left
 
 
 def test_jobs(spark):
@@ -84,47 +141,34 @@ def test_submit_once(spark):
     assert sorted(r.task_id for r in tsk.accepted_requests(df).collect()) == ["t1", "t3", "t4"]
 
 
-def in_batches(spark, rows, schema, folder, batches=3, seed=5):
-    """The rows as a stream of shuffled batches."""
-    rows = random.Random(seed).sample(rows, len(rows))
-    for k in range(batches):
-        spark.createDataFrame(rows[k::batches], schema).coalesce(1).write.mode("append").parquet(str(folder))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
-
-
-def test_candidates_over_shuffled_batches_equal_batch(spark, tmp_path):
+def test_candidates_over_shuffled_batches_equal_batch(spark):
     schema = "tab_id bigint, seq bigint, kind string, url string, content_type string, headers map<string,string>, ts timestamp"
     rng = random.Random(3)
     rows = []
     for seq in range(120):
         kind = "reset" if rng.random() < 0.05 else "candidate"
         headers = {"Cookie": str(seq)} if rng.random() < 0.5 else {}
-        ts = datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=seq)
-        rows.append((seq % 4, seq, kind, f"https://h/{rng.randrange(9)}.mp4", None, headers, ts))
-    batch = req.rank_stream_candidates(req.stream_candidates(spark.createDataFrame(rows, schema)))
-    stream = state.track_stream_candidates(in_batches(spark, rows, schema, tmp_path / "in"))
-    got = runs._newest(runs.run_to_table(stream, "update", state.STATE_STORE), "tab_id", by="version").filter("rank > 0")
+        rows.append((seq % 4, seq, kind, f"https://h/{rng.randrange(9)}.mp4", None, headers, minute(seq / 5)))
     columns = ["tab_id", "rank", "url"]
-    assert sorted(got.select(*columns, "headers").collect()) == sorted(batch.select(*columns, F.to_json("headers")).collect())
-
+    for late in (0.0, 0.4):
+        arrived, lost = turned(rows, late, 11)
+        batch = req.rank_stream_candidates(req.stream_candidates(spark.createDataFrame([r for r in rows if r not in lost], schema)))
+        out = runs.run_in_turns(spark.createDataFrame(arrived, schema + ", turn int"), "turn", 3, state.track_stream_candidates, "update")
+        got = runs._newest(out, "tab_id").filter("rank > 0")
+        assert sorted(got.select(*columns, "headers").collect()) == sorted(batch.select(*columns, F.to_json("headers")).collect())
+        assert sorted(r.seq for r in ordered.late_rows(out, "tab_id").collect()) == sorted(r[1] for r in lost)
 
-def test_late_rows_leave_one_state_per_task(spark, tmp_path):
-    for seq in (5, 3, 4):
-        df = spark.createDataFrame([("t", seq, "completed" if seq == 5 else "update", "a", 1.0, None)], EVENTS)
-        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = runs._newest(runs.run_to_table(state.task_state_stream(stream), "update", state.STATE_STORE), "task_id").collect()
-    assert [(r.task_id, r.last_seq, r.status) for r in got] == [("t", 5, "completed")]
 
-
-def test_later_submissions_get_the_first_task(spark, tmp_path):
-    schema = "seq bigint, client_request_id string, task_id string"
-    for part in ([(2, "x", "t2"), (1, "x", "t1"), (3, None, "t3")], [(4, "x", "t4"), (5, "y", "t5"), (6, "", "t6")]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = runs.run_to_table(state.submit_once_stream(stream), "append", state.STATE_STORE).collect()
-    want = {1: "t1", 2: "t1", 3: "t3", 4: "t1", 5: "t5", 6: "t6"}
-    assert {r.seq: r.effective_task_id for r in got} == want and len(got) == 6
+def test_later_submissions_get_the_first_task(spark):
+    schema = "seq bigint, client_request_id string, task_id string, ts timestamp"
+    rows = [
+        (2, "x", "t2", minute(2), 0), (3, None, "t3", minute(3), 0), (1, "x", "t1", minute(1), 1), (4, "x", "t4", minute(9), 1),
+        (5, "y", "t5", minute(9), 1), (6, "", "t6", minute(9), 1), (8, None, "end", minute(99), 1), (7, "y", "t7", minute(20), 2),
+    ]
+    out = runs.run_in_turns(spark.createDataFrame(rows, schema + ", turn int"), "turn", 3, state.submit_once_stream, "append")
+    got = {r.seq: r.effective_task_id for r in ordered.settled(out).collect()}
+    assert got == {1: "t1", 2: "t1", 3: "t3", 4: "t1", 5: "t5", 6: "t6", 8: "end"}
+    assert [r.seq for r in ordered.late_rows(out, "client_request_id").collect()] == [7]
 
 
 def test_the_last_request_gives_the_headers(spark):
@@ -138,5 +182,41 @@ def test_the_last_request_gives_the_headers(spark):
         "seq bigint, request_id string, content_type string, ts timestamp",
     )
     want = [(1, {"Cookie": "2"}), (2, {"Cookie": "3"}), (3, None), (4, None)]
-    for rows in (req.join_request_response(sent, back), req.newest_request(req.recent_requests(sent, back), "seq")):
-        assert [(r.seq, r.request_headers) for r in rows.orderBy("seq").collect()] == want
+    joined = req.join_request_response(sent, back)
+    assert [(r.seq, r.request_headers) for r in joined.orderBy("seq").collect()] == want
+
+
+def test_requests_and_responses_in_one_stream_equal_batch(spark):
+    """Redirects, completions, equal times, missing ids, rows in any order over three batches: one row a response."""
+    rng = random.Random(21)
+    sent, back, done = [], [], []
+    for k in range(160):
+        key, at = rng.choice([*(f"r{j}" for j in range(12)), None]), minute(rng.randrange(0, 1800, 15) / 60)
+        what = rng.choice("qqppd")
+        if what == "q":
+            sent.append((key, at, {"Cookie": str(k)}))
+        elif what == "p":
+            back.append((k, key, rng.choice(["video/mp4", "text/html"]), at + datetime.timedelta(microseconds=7)))
+            back.append((1000 + k, key, "audio/mp4", at))
+        else:
+            done.append((key, at))
+    schemas = ("request_id string, ts timestamp, headers map<string,string>", "seq bigint, request_id string, content_type string, ts timestamp")
+    sent, back = spark.createDataFrame(sent, schemas[0]), spark.createDataFrame(back, schemas[1])
+    done = spark.createDataFrame([*done, ("", minute(600))], "request_id string, ts timestamp")
+    batch = req.join_request_response(sent, back, "7 minutes", done).select("seq", "request_id", "ts", "request_headers").collect()
+    parts = [df.select(F.lit(k).alias("part"), F.to_json(F.struct(*df.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("row"), "ts") for k, df in enumerate((sent, back, done))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = rows.withColumn("turn", F.when(F.col("ts") > F.lit(minute(300)), 2).otherwise(F.least(F.lit(2), F.floor(F.minute("ts") / 9) + F.abs(F.hash("row")) % 2).cast("int")))
+
+    def operator(stream):
+        opened = [
+            stream.filter(F.col("part") == k).select(F.from_json("row", told, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("r")).select("r.*")
+            for k, told in enumerate((*schemas, "request_id string, ts timestamp"))
+        ]
+        return joins.join_request_response_stream(*opened, within="7 minutes", delay="20 minutes")
+
+    out = runs.run_in_turns(rows, "turn", 3, operator, "append")
+    assert ordered.late_rows(out, "request_id").count() == 0
+    got = ordered.settled(out).select("seq", "request_id", "ts", "request_headers").collect()
+    assert sorted(map(str, got)) == sorted(map(str, batch))
+    assert any(r.request_headers for r in got) and any(r.request_headers is None and r.request_id for r in got)
