@@ -625,6 +625,51 @@ SQL["merge_revisions"] = with_views("v_segments") + f""", {JUDGED}
 SELECT rec_id, CAST(seg_idx AS BIGINT) AS seg_idx, start_ms, end_ms, CASE WHEN accepted THEN revised ELSE text END AS text,
   accepted AS revised FROM judged"""
 
+_WORDS = "'[A-Za-zА-Яа-яЁё0-9]+'"
+
+
+def _aligned(pairs: str) -> str:
+    """``aligned`` texts of the rows ``rec_id, seg_idx, o, r`` of ``pairs``, by all chains of runs."""
+
+    def edge(o: str, r: str) -> str:
+        had, has = (f"len(regexp_extract_all({x}, {_WORDS}))" for x in (o, r))
+        return f"""CASE WHEN {had} = 0 THEN CASE WHEN {has} = 0 THEN {o} ELSE '' END WHEN {has} = 0 THEN {o}
+    WHEN {has} >= greatest(1, floor({had} * 0.55::DOUBLE)) AND {has} <= greatest({had} + 3, ceil({had} * 1.7::DOUBLE)) THEN {r} ELSE {o} END"""
+
+    def start(words: str, gaps: str, k: str) -> str:
+        return f"length(array_to_string({gaps}[1:{k} + 1], '')) + length(array_to_string({words}[1:{k}], ''))"
+
+    return f"""al_split AS MATERIALIZED (SELECT rec_id, seg_idx, o, r, regexp_extract_all(replace(lower(o), 'ё', 'е'), {_WORDS}) AS ow,
+    regexp_extract_all(replace(lower(r), 'ё', 'е'), {_WORDS}) AS rw, regexp_split_to_array(o, {_WORDS}) AS og, regexp_split_to_array(r, {_WORDS}) AS rg
+  FROM {pairs}),
+al_a AS (SELECT rec_id, seg_idx, k AS a, array_to_string(ow[k + 1:k + 3], ' ') AS anchor FROM (
+  SELECT *, unnest(range(greatest(0, len(ow) - 2))) AS k FROM al_split)),
+al_b AS (SELECT rec_id, seg_idx, k AS b, array_to_string(rw[k + 1:k + 3], ' ') AS anchor FROM (
+  SELECT *, unnest(range(greatest(0, len(rw) - 2))) AS k FROM al_split)),
+al_runs AS MATERIALIZED (SELECT rec_id, seg_idx, min(a) AS a, min(b) AS b, count(*) + 2 AS size FROM (
+  SELECT *, a - row_number() OVER (PARTITION BY rec_id, seg_idx, a - b ORDER BY a) AS island FROM al_a JOIN al_b USING (rec_id, seg_idx, anchor))
+  GROUP BY rec_id, seg_idx, a - b, island),
+al_chains AS (SELECT rec_id, seg_idx, size AS weight, a, b, a + size AS a_end, b + size AS b_end FROM al_runs
+  UNION
+  SELECT c.rec_id, c.seg_idx, c.weight + n.size - greatest(0, c.a_end - n.a, c.b_end - n.b), c.a, c.b, n.a + n.size, n.b + n.size
+  FROM al_chains c JOIN al_runs n ON n.rec_id = c.rec_id AND n.seg_idx = c.seg_idx AND n.a + n.size > c.a_end AND n.b + n.size > c.b_end
+    AND n.size - greatest(0, c.a_end - n.a, c.b_end - n.b) >= 3),
+al_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_idx ORDER BY weight DESC, a, b, a_end, b_end) AS rn
+  FROM al_chains) WHERE rn = 1),
+al_cut AS (SELECT rec_id, seg_idx, o, r, {start("ow", "og", "a")} AS o_from, {start("rw", "rg", "b")} AS r_from,
+    {start("ow", "og", "(a_end - 1)")} + length(ow[a_end]) AS o_to, {start("rw", "rg", "(b_end - 1)")} + length(rw[b_end]) AS r_to
+  FROM al_split JOIN al_best USING (rec_id, seg_idx)),
+al_parts AS (SELECT *, trim(left(o, o_from)) AS o1, trim(left(r, r_from)) AS r1, trim(substr(o, o_to + 1)) AS o2, trim(substr(r, r_to + 1)) AS r2,
+    trim(substr(r, r_from + 1, r_to - r_from)) AS core FROM al_cut),
+aligned AS (SELECT rec_id, seg_idx, coalesce(j, trim(r)) AS aligned FROM al_split LEFT JOIN (
+  SELECT rec_id, seg_idx, trim(array_to_string(list_filter([{edge("o1", "r1")}, core, {edge("o2", "r2")}], lambda x: x <> ''), ' ')) AS j
+  FROM al_parts) USING (rec_id, seg_idx))"""
+
+
+SQL["align_revision_boundaries"] = with_views("v_segments", recursive=True) + f""", {_PAIRS},
+al_pairs AS (SELECT rec_id, seg_idx, text AS o, revised AS r FROM rp), {_aligned("al_pairs")}
+SELECT rec_id, CAST(seg_idx AS BIGINT) AS seg_idx, aligned FROM aligned"""
+
 # --- evaluation ---------------------------------------------------------------------
 
 SQL["pair_texts"] = with_views("v_pairs") + """
@@ -732,9 +777,9 @@ marked AS (SELECT *, epoch_us(ts) // 1000 AS at_ms,
   (SELECT max(epoch_us(e.ts) // 1000) - 600000 FROM turned e WHERE e.turn < t.turn) AS passed FROM turned t),
 on_time AS (SELECT * EXCLUDE (passed) FROM marked WHERE passed IS NULL OR at_ms > passed)"""
 SQL["late_task_events"] = with_views("v_task_events") + _LATE + " SELECT task_id, seq, at_ms FROM marked WHERE at_ms <= passed"
-SQL["task_state_late_stream"] = with_views("v_task_events") + _LATE + SQL["task_state"].removeprefix(with_views("v_task_events")).replace(
-    "v_task_events", "on_time"
-)
+SQL["task_state_late_stream"] = (
+    with_views("v_task_events") + _LATE + SQL["task_state"].removeprefix(with_views("v_task_events")).replace("v_task_events", "on_time")
+).replace("SELECT task_id, coalesce(arg_max(status, seq)", "SELECT * EXCLUDE (last_seq) FROM (SELECT task_id, coalesce(arg_max(status, seq)") + ")"
 
 SQL["job_state"] = """
 WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS owner, 'j' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 14) AS job_id, event_id AS seq,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segmill.operators import alignment as ali
 from segmill.operators import captions as cap
 from segmill.operators import catalogue as cat
 from segmill.operators import evaluation as ev
@@ -596,7 +597,7 @@ def task_state_stream(spark, d):
 
 
 def task_state_late_stream(spark, d):
-    return runs.late_task_run(spark, d)[0].select(*TASK_COLUMNS)
+    return runs.late_task_run(spark, d)[0].select(*TASK_COLUMNS[:-1])
 
 
 def late_task_events(spark, d):
@@ -617,6 +618,11 @@ def submit_once_stream(spark, d):
     return runs.submit_run(spark, d).select("seq", "client_request_id", "task_id", "effective_task_id")
 
 
+def align_revision_boundaries(spark, d):
+    pairs = _revision_pairs(spark, d).select("rec_id", "seg_idx", "original", "revised")
+    return ali.align_revision_boundaries(pairs).select("rec_id", _long("seg_idx"), "aligned")
+
+
 # --- revision, search, source choice ---------------------------------------------------------------
 
 
