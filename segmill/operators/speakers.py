@@ -15,8 +15,9 @@ TINY_MAX_MS = 3_000
 TINY_MIN_MS = 1_500
 TINY_SHARE = 0.03
 
-BIN_MS = 30_000
+# Rows of one recording are swept in chunks of so much time; pairs that touch meet in bins.
 CHUNK_MS = 600_000
+BIN_MS = 30_000
 
 
 def _bins(low: Column, high: Column, size: int) -> Column:
@@ -50,57 +51,123 @@ def _usable_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def _speaker_of_intervals(segments: DataFrame, turns: DataFrame, tolerance: int, bin_ms: int) -> DataFrame:
-    intervals = segments.select("rec_id", "s0", "s1").distinct()
-    pairs = _touching(intervals, _usable_turns(turns), tolerance, bin_ms)
-    overlap = F.greatest(F.lit(0), F.least("s1", "t1") - F.greatest("s0", "t0"))
-    gap = F.greatest(F.col("t0") - F.col("s1"), F.col("s0") - F.col("t1"), F.lit(0))
-    pairs = pairs.withColumns({"overlap": overlap, "gap": gap})
-    per_speaker = pairs.groupBy("rec_id", "s0", "s1", "speaker").agg(
-        F.sum(F.col("overlap") * F.col("copies")).alias("overlap"),
-        F.min(F.when(F.col("overlap") > 0, F.greatest("s0", "t0"))).alias("first"),
-        F.min(F.struct("gap", "t0", "speaker")).alias("near"),
+def _sweep(points: DataFrame, key: list[str], order: list[str], values: dict[str, Running]) -> DataFrame:
+    """Running values over the points of a key in time; ``order`` begins with the time, which may run backwards."""
+    return with_running(points, key, order, F.floor(F.col(order[0]) / CHUNK_MS).cast("bigint"), values)
+
+
+def _overlaps(intervals: DataFrame, turns: DataFrame) -> DataFrame:
+    """Per interval ``(rec_id, s0, s1)`` and speaker who is heard in it: ``overlap`` and ``active`` (turns open at its start).
+
+    A speaker's speech up to a time ``x`` is ``x * level - base``, with running sums over the
+    starts and ends of the turns before it: the number of open turns and the sum of their
+    starts. An interval asks for it at both ends, so the work does not depend on how many
+    turns overlap there or how long they are.
+    """
+    nothing = F.lit(None).cast("bigint")
+    marks = F.array(
+        F.struct(F.col("t0").alias("x"), F.col("copies").alias("open")), F.struct(F.col("t1").alias("x"), (-F.col("copies")).alias("open"))
     )
-    best = F.max(
-        F.when(
-            F.col("overlap") > 0,
-            F.struct(F.col("overlap"), (-F.col("first")).alias("early"), (-F.col("speaker")).alias("low")),
-        )
+    events = turns.select("rec_id", "speaker", F.inline(marks)).select(
+        "rec_id", "speaker", "x", F.lit(0).alias("side"), nothing.alias("s0"), nothing.alias("s1"), "open", (F.col("open") * F.col("x")).alias("at")
     )
-    return per_speaker.groupBy("rec_id", "s0", "s1").agg(best.alias("best"), F.min("near").alias("near"))
+    speakers = turns.select("rec_id", "speaker").distinct()
+    ends = F.array(F.struct(F.col("s0").alias("x"), F.lit(1).alias("side")), F.struct(F.col("s1").alias("x"), F.lit(2).alias("side")))
+    asked = intervals.filter("s1 > s0").join(speakers, "rec_id").select("rec_id", "speaker", "s0", "s1", F.inline(ends))
+    points = events.unionByName(asked, allowMissingColumns=True)
+    sums = {"level": Running("sum", F.coalesce("open", F.lit(0))), "base": Running("sum", F.coalesce("at", F.lit(0)))}
+    heard = _sweep(points, ["rec_id", "speaker"], ["x", "side", "s0", "s1"], sums).filter("side > 0")
+    until = F.col("x") * F.col("level") - F.col("base")
+    return heard.groupBy("rec_id", "s0", "s1", "speaker").agg(
+        F.sum(F.when(F.col("side") == 2, until).otherwise(-until)).alias("overlap"),
+        F.max(F.when(F.col("side") == 1, F.col("level"))).alias("active"),
+    ).filter("overlap > 0")
 
 
-def assign_speakers(
-    segments: DataFrame,
-    turns: DataFrame,
-    nearest: bool = True,
-    tolerance_ms: int = NEAREST_MS,
-    bin_ms: int = BIN_MS,
-) -> DataFrame:
-    """Give each segment the speaker it overlaps most, else (if ``nearest``) the closest turn in tolerance.
+def _most_heard(intervals: DataFrame, turns: DataFrame) -> DataFrame:
+    """``rec_id, s0, s1, speaker``: who overlaps most; of equals the one heard first, then the lowest number."""
+    heard = _overlaps(intervals, turns)
+    most = F.max("overlap").over(Window.partitionBy("rec_id", "s0", "s1"))
+    best = checkpointed(heard.withColumn("most", most).filter("overlap = most").drop("most", "overlap"))
+    one = best.groupBy("rec_id", "s0", "s1").agg(F.count(F.lit(1)).alias("n"), F.min("speaker").alias("speaker"))
+    # Only equals ask who is heard first: at once, or from the speaker's next start on.
+    equals = best.join(one.filter("n > 1").drop("n", "speaker"), ["rec_id", "s0", "s1"])
+    silent = equals.filter("active = 0").select("rec_id", "speaker", "s0", "s1", (-F.col("s0")).alias("down"), F.lit(1).alias("side"))
+    starts = turns.select("rec_id", "speaker", (-F.col("t0")).alias("down"), F.lit(0).alias("side")).distinct()
+    begun = Running("last", F.when(F.col("side") == 0, -F.col("down")))
+    points = starts.unionByName(silent, allowMissingColumns=True)
+    found = _sweep(points, ["rec_id", "speaker"], ["down", "side", "s0", "s1"], {"first": begun}).filter("side = 1")
+    later = found.select("rec_id", "s0", "s1", "speaker", "first")
+    firsts = equals.filter("active > 0").select("rec_id", "s0", "s1", "speaker", F.col("s0").alias("first")).unionByName(later)
+    chosen = firsts.groupBy("rec_id", "s0", "s1").agg(F.min(F.struct("first", "speaker")).getField("speaker").alias("speaker"))
+    return one.filter("n = 1").drop("n").unionByName(chosen)
+
 
-    Ties: the earliest overlap, then the lowest number. Equal intervals are matched
-    once and shared by all segments that have them.
+def _nearest(intervals: DataFrame, turns: DataFrame, tolerance: int) -> DataFrame:
+    """``rec_id, s0, s1, speaker, gap``: the closest turn within ``tolerance`` of intervals that no turn overlaps.
+
+    Three turns can be the closest: the last to end before, the next to start after, and for
+    an interval without length one that holds it. Of those the earliest start counts: turns
+    whose end no earlier start reaches form a staircase, on which it is the next end.
     """
+    rec, number = ["rec_id"], F.col("speaker")
+    ended = turns.groupBy("rec_id", F.col("t1").alias("x")).agg(F.min(F.struct(F.col("t0"), number)).alias("turn"))
+    ended = ended.select("rec_id", "x", F.lit(0).alias("side"), F.struct(F.col("x").alias("t1"), "turn.t0", "turn.speaker").alias("turn"))
+    asked = intervals.select("rec_id", "s0", "s1", F.col("s0").alias("x"), F.lit(1).alias("side"))
+    left = _sweep(ended.unionByName(asked, allowMissingColumns=True), rec, ["x", "side", "s0", "s1"], {"left": Running("last", F.col("turn"))})
+    left = left.filter("side = 1").select("rec_id", "s0", "s1", "left")
+
+    begun = turns.groupBy("rec_id", "t0").agg(F.min(number).alias("speaker"))
+    begun = begun.select("rec_id", (-F.col("t0")).alias("down"), F.lit(0).alias("side"), F.struct("t0", "speaker").alias("start"))
+    stairs = _sweep(turns, rec, ["t0", "speaker", "t1"], {"reached": Running("max", F.col("t1"), inclusive=False)})
+    stairs = stairs.filter(F.col("reached").isNull() | (F.col("t1") > F.col("reached")))
+    stairs = stairs.select("rec_id", (-F.col("t1")).alias("down"), F.lit(0).alias("side"), F.struct("t0", "speaker").alias("step"))
+    asked = left.select("*", (-F.col("s1")).alias("down"), F.lit(1).alias("side"))
+    points = begun.unionByName(stairs, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    nexts = {"right": Running("last", F.col("start")), "hold": Running("last", F.col("step"))}
+    around = _sweep(points, rec, ["down", "side", "s0", "s1"], nexts).filter("side = 1")
+
+    def turn(gap: Column, at: str, holds: Column) -> Column:
+        return F.when(holds, F.struct(gap.cast("bigint").alias("gap"), F.col(at)["t0"].alias("t0"), F.col(at)["speaker"].alias("speaker")))
+
+    near = F.least(
+        turn(F.col("s0") - F.col("left.t1"), "left", F.col("left").isNotNull()),
+        turn(F.col("right.t0") - F.col("s1"), "right", F.col("right").isNotNull()),
+        turn(F.lit(0), "hold", F.col("hold").isNotNull() & (F.col("hold.t0") <= F.col("s0")) & (F.col("s0") == F.col("s1"))),
+    )
+    found = around.select("rec_id", "s0", "s1", near.alias("near")).filter(F.col("near.gap") <= tolerance)
+    return found.select("rec_id", "s0", "s1", F.col("near.speaker").alias("speaker"), F.col("near.gap").alias("gap"))
+
+
+def _timed(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments with their interval, and the distinct intervals: equal ones are matched once."""
     timed = segments.drop("speaker").withColumn("s0", F.greatest(F.lit(0), F.col("start_ms")).cast("bigint"))
-    timed = timed.withColumn("s1", F.greatest("s0", "end_ms"))
-    found = _speaker_of_intervals(timed, turns, tolerance_ms if nearest else 0, bin_ms)
-    by_overlap = -F.col("best.low")
-    by_gap = F.when(F.col("near.gap") <= tolerance_ms, F.col("near.speaker")) if nearest else F.lit(None)
-    chosen = found.select("rec_id", "s0", "s1", F.coalesce(by_overlap, by_gap).cast("int").alias("speaker"))
+    timed = timed.withColumn("s1", F.greatest("s0", "end_ms").cast("bigint"))
+    return timed, timed.select("rec_id", "s0", "s1").distinct()
+
+
+def assign_speakers(segments: DataFrame, turns: DataFrame, nearest: bool = True, tolerance_ms: int = NEAREST_MS) -> DataFrame:
+    """Give each segment the speaker it overlaps most, else (if ``nearest``) the closest turn in tolerance.
+
+    Ties: the earliest overlap, then the lowest number.
+    """
+    timed, intervals = _timed(segments)
+    usable = checkpointed(_usable_turns(turns))
+    found = _most_heard(intervals, usable)
+    if nearest:
+        found = checkpointed(found)
+        alone = intervals.join(found, ["rec_id", "s0", "s1"], "left_anti")
+        found = found.unionByName(_nearest(alone, usable, tolerance_ms).drop("gap"))
+    chosen = found.select("rec_id", "s0", "s1", F.col("speaker").cast("int").alias("speaker"))
     return timed.join(chosen, ["rec_id", "s0", "s1"], "left").drop("s0", "s1")
 
 
-def assign_nearest_turn(
-    segments: DataFrame, turns: DataFrame, tolerance_ms: int = NEAREST_MS, bin_ms: int = BIN_MS
-) -> DataFrame:
+def assign_nearest_turn(segments: DataFrame, turns: DataFrame, tolerance_ms: int = NEAREST_MS) -> DataFrame:
     """The closest turn of segments no turn overlaps, with its gap; other segments are left out."""
-    timed = segments.drop("speaker").withColumn("s0", F.greatest(F.lit(0), F.col("start_ms")).cast("bigint"))
-    timed = timed.withColumn("s1", F.greatest("s0", "end_ms"))
-    found = _speaker_of_intervals(timed, turns, tolerance_ms, bin_ms)
-    near = found.filter(F.col("best").isNull() & (F.col("near.gap") <= tolerance_ms)).select(
-        "rec_id", "s0", "s1", F.col("near.speaker").alias("speaker"), F.col("near.gap").alias("gap_ms")
-    )
+    timed, intervals = _timed(segments)
+    usable = checkpointed(_usable_turns(turns))
+    alone = intervals.join(checkpointed(_most_heard(intervals, usable)), ["rec_id", "s0", "s1"], "left_anti")
+    near = _nearest(alone, usable, tolerance_ms).withColumnRenamed("gap", "gap_ms")
     return timed.join(near, ["rec_id", "s0", "s1"]).drop("s0", "s1")
 
 

@@ -273,19 +273,21 @@ SQL["classify_errors"] = _errors()
 # --- speakers -----------------------------------------------------------------------
 
 _OVERLAP = """
-pairs AS (SELECT s.rec_id, s.seg_idx, t.speaker, least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms) AS ov,
-    greatest(s.start_ms, t.start_ms) AS first_ms
-  FROM v_segments s JOIN v_turns t ON s.rec_id = t.rec_id AND t.start_ms < s.end_ms AND t.end_ms > s.start_ms),
-best AS (SELECT rec_id, seg_idx, speaker FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_idx
+seg_bins AS MATERIALIZED (SELECT rec_id, seg_idx, start_ms, end_ms, unnest(range((start_ms - 1000) // 30000, (end_ms + 1000) // 30000 + 1)) AS bin FROM v_segments),
+turn_bins AS MATERIALIZED (SELECT rec_id, start_ms, end_ms, speaker, unnest(range(start_ms // 30000, end_ms // 30000 + 1)) AS bin FROM v_turns),
+met AS MATERIALIZED (SELECT s.rec_id, s.seg_idx, s.start_ms, s.end_ms, t.speaker, t.start_ms AS t0, t.end_ms AS t1
+  FROM seg_bins s JOIN turn_bins t ON s.rec_id = t.rec_id AND s.bin = t.bin
+  WHERE s.bin = greatest((s.start_ms - 1000) // 30000, t.start_ms // 30000)),
+pairs AS MATERIALIZED (SELECT rec_id, seg_idx, speaker, least(end_ms, t1) - greatest(start_ms, t0) AS ov, greatest(start_ms, t0) AS first_ms
+  FROM met WHERE t0 < end_ms AND t1 > start_ms),
+best AS MATERIALIZED (SELECT rec_id, seg_idx, speaker FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_idx
     ORDER BY ov DESC, first_ms, speaker) AS rn FROM (SELECT rec_id, seg_idx, speaker, sum(ov) AS ov, min(first_ms) AS first_ms
     FROM pairs WHERE ov > 0 GROUP BY ALL)) WHERE rn = 1)"""
 _NEAR = """
-near AS (SELECT rec_id, seg_idx, speaker, gap FROM (SELECT s.rec_id, s.seg_idx, t.speaker,
-    greatest(t.start_ms - s.end_ms, s.start_ms - t.end_ms, 0) AS gap,
-    row_number() OVER (PARTITION BY s.rec_id, s.seg_idx ORDER BY greatest(t.start_ms - s.end_ms, s.start_ms - t.end_ms, 0),
-      t.start_ms, t.speaker) AS rn
-  FROM v_segments s JOIN v_turns t ON s.rec_id = t.rec_id AND t.start_ms <= s.end_ms + 1000 AND t.end_ms >= s.start_ms - 1000
-  ANTI JOIN best b ON b.rec_id = s.rec_id AND b.seg_idx = s.seg_idx) WHERE rn = 1 AND gap <= 1000)"""
+near AS (SELECT rec_id, seg_idx, speaker, gap FROM (SELECT s.rec_id, s.seg_idx, s.speaker,
+    greatest(t0 - s.end_ms, s.start_ms - t1, 0) AS gap,
+    row_number() OVER (PARTITION BY s.rec_id, s.seg_idx ORDER BY greatest(t0 - s.end_ms, s.start_ms - t1, 0), t0, s.speaker) AS rn
+  FROM met s ANTI JOIN best b ON b.rec_id = s.rec_id AND b.seg_idx = s.seg_idx) WHERE rn = 1 AND gap <= 1000)"""
 
 SQL["assign_speakers"] = with_views("v_segments", "v_turns") + f""", {_OVERLAP.strip()}, {_NEAR.strip()}
 SELECT s.rec_id, CAST(s.seg_idx AS BIGINT) AS seg_idx, CAST(coalesce(b.speaker, n.speaker) AS BIGINT) AS speaker

@@ -542,5 +542,5 @@ def with_views(*names: str, recursive: bool = False) -> str:
 
     for name in names:
         add(name)
-    body = ",\n".join(f"{name} AS ({ORACLE[name].strip()})" for name in wanted)
+    body = ",\n".join(f"{name} AS MATERIALIZED ({ORACLE[name].strip()})" for name in wanted)
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}"

@@ -69,7 +69,7 @@ def sequential_speaker(seg, turns):
     return k if gap <= 1000 else None
 
 
-def test_speakers_equal_brute_force(spark):
+def test_speakers_equal_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     turns = [("r", a := rng.randint(0, 90_000), a + rng.choice([-5, 300, 2000, 40_000]), rng.randint(-1, 3)) for _ in range(60)]
     segs = [("r", i, a := rng.randint(-500, 120_000), a + rng.choice([-10, 0, 500, 3000]), "x") for i in range(150)]
@@ -77,7 +77,8 @@ def test_speakers_equal_brute_force(spark):
     want = {s[1]: sequential_speaker(s, usable) for s in segs}
     df, td = spark.createDataFrame(segs, SEGS), spark.createDataFrame(turns, TURNS)
     for size in (700, 30_000):
-        got = {r.seg_idx: r.speaker for r in spk.assign_speakers(df, td, bin_ms=size).collect()}
+        monkeypatch.setattr(spk, "CHUNK_MS", size)
+        got = {r.seg_idx: r.speaker for r in spk.assign_speakers(df, td).collect()}
         assert got == want
 
 
