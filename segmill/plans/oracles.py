@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from segmill.operators.catalogue import ERROR_RULES
 from segmill.operators.glossary import BLOCKED_PHRASES, LATIN_STOP_WORDS, TECHNICAL_STOP_WORDS
-from segmill.plans.views import with_views
+from segmill.plans.views import phrase_hits, with_views
 
 NW = r"[^\p{L}\p{N}_]"
 # URL groups: scheme, user, host, port, path, query.
@@ -413,17 +413,23 @@ FROM documents LEFT JOIN (SELECT rec_id, count(*) AS n FROM texts GROUP BY rec_i
 
 # --- terms --------------------------------------------------------------------------
 
-SQL["match_terms"] = with_views("term_hits") + " SELECT rec_id, term_id, hits FROM term_hits"
+def _term_hits(name: str, texts: str) -> str:
+    return f"""{phrase_hits(name + '_phrases', texts, 'dict_variants')},
+{name} AS MATERIALIZED (SELECT rec_id, term_id, max(hits) AS hits FROM {name}_phrases JOIN dict_variants USING (key) GROUP BY ALL)"""
 
-_SCORES = """
-kw_hits AS (SELECT rec_id, category, sum((length(' ' || key_text || ' ') - length(replace(' ' || key_text || ' ', ' ' || key || ' ', '')))
-    // (length(key) + 2)) AS score
-  FROM {texts} JOIN dict_keywords ON contains(' ' || key_text || ' ', ' ' || key || ' ') GROUP BY ALL),
+
+SQL["match_terms"] = with_views("doc_keys", "dict_variants") + f""", {_term_hits("term_hits", "doc_keys")}
+SELECT rec_id, term_id, hits FROM term_hits"""
+
+def _scores(texts: str) -> str:
+    return f"""{phrase_hits("keyword_phrases", texts, "dict_keywords")},
+kw_hits AS (SELECT rec_id, category, sum(hits) AS score FROM keyword_phrases JOIN dict_keywords USING (key) GROUP BY ALL),
 dict_defaults AS (SELECT category, min(pos) AS pos, arg_min(value, pos) AS value, arg_min(term_id, pos) AS term_id
   FROM dict_terms GROUP BY category)"""
 
+
 SQL["expand_category_defaults"] = with_views("doc_keys", "dict_terms", "dict_keywords") + f""",
-{_SCORES.replace('{texts}', 'doc_keys').strip()}
+{_scores('doc_keys')}
 SELECT rec_id, category, CAST(score AS BIGINT) AS score, term_id, value FROM kw_hits JOIN dict_defaults USING (category)"""
 
 
@@ -494,18 +500,17 @@ SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY part, pos) - 1 AS
     SELECT rec_id, 0 AS part, pos, value FROM custom_terms UNION ALL SELECT rec_id, 1, pos, value FROM latin_terms)) WHERE rn = 1
 QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY part, pos) <= 96"""
 
-SQL["build_glossary"] = with_views("term_hits", "dict_keywords") + f""", {_custom(64)}, {_technical('text')},
+SQL["build_glossary"] = with_views("doc_keys", "dict_variants", "dict_keywords") + f""", {_term_hits("term_hits", "doc_keys")}, {_custom(64)}, {_technical('text')},
 meta_keys AS MATERIALIZED (SELECT rec_id, {_key("title || ' ' || source || ' ' || text || ' ' || lang || ' ' || source || ' ' || lang")} AS key_text FROM (
   SELECT CAST(doc_id AS VARCHAR) AS rec_id, split_part(text, chr(10), 1) AS title, text, lang, source FROM documents)),
-meta_hits AS (SELECT rec_id, term_id, max((length(' ' || key_text || ' ') - length(replace(' ' || key_text || ' ', ' ' || key || ' ', '')))
-    // (length(key) + 2)) AS hits FROM meta_keys JOIN dict_variants ON contains(' ' || key_text || ' ', ' ' || key || ' ') GROUP BY ALL),
-context AS (SELECT rec_id, trim(m.key_text || ' ' || d.key_text) AS key_text FROM meta_keys m JOIN doc_keys d USING (rec_id)),
-{_SCORES.replace('{texts}', 'context').strip()},
+{_term_hits("meta_hits", "meta_keys")},
+context AS MATERIALIZED (SELECT rec_id, trim(m.key_text || ' ' || d.key_text) AS key_text FROM meta_keys m JOIN doc_keys d USING (rec_id)),
+{_scores('context')},
 tiers AS (
   SELECT rec_id, value, 'custom' AS source, NULL AS category, 1000 AS score, 0 AS tier, pos AS r1, '' AS r2, 0 AS r3 FROM custom_terms
-  UNION ALL SELECT rec_id, value, 'metadata', category, 100 + hits, 1, -hits, lower(value), 0 FROM meta_hits JOIN dict_terms USING (term_id)
+  UNION ALL SELECT rec_id, value, 'metadata', category, 100 + hits, 1, -hits, replace(lower(value), 'ß', 'ss'), 0 FROM meta_hits JOIN dict_terms USING (term_id)
   UNION ALL SELECT rec_id, value, 'metadata', NULL, 100, 2, pos, '', 0 FROM tech_terms
-  UNION ALL SELECT rec_id, value, 'builtin', category, hits, 3, -hits, lower(value), 0 FROM term_hits JOIN dict_terms USING (term_id)
+  UNION ALL SELECT rec_id, value, 'builtin', category, hits, 3, -hits, replace(lower(value), 'ß', 'ss'), 0 FROM term_hits JOIN dict_terms USING (term_id)
     WHERE NOT EXISTS (SELECT 1 FROM meta_hits m WHERE m.rec_id = term_hits.rec_id AND m.term_id = term_hits.term_id)
   UNION ALL SELECT rec_id, value, 'builtin', category, score, 4, -score, category, pos FROM kw_hits JOIN dict_defaults USING (category)),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, key ORDER BY tier, r1, r2, r3, value) AS rn FROM (

@@ -378,30 +378,32 @@ def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary_rows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Benchmark passages as a dictionary in four categories: the first two words are a
-    term (its swap an alias), the third word a keyword, the earliest term a default."""
+    """Benchmark passages as a dictionary in four categories: each two words in turn are a term, with their swap
+    as an alias, the first term of a passage also has the whole passage as an alias; every word is a keyword, the
+    earliest term of a category its default."""
     from segmill.functions.text import term_key
 
     bench = table(spark, sf_dir, "benchmark").select("item_id", _words(F.col("text")).alias("w"))
-    category = F.concat(F.lit("c"), (F.col("item_id") % 4).cast("string"))
-    rows = bench.select(
-        "item_id",
-        category.alias("category"),
-        F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("value"),
-        F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(0))).alias("alias"),
-        F.coalesce(F.get("w", F.lit(2)), F.get("w", F.lit(0))).alias("keyword"),
-    )
-    first = rows.groupBy(term_key(F.col("value")).alias("key")).agg(
-        F.min_by(F.struct("item_id", "category", "value", "alias"), "item_id").alias("t")
-    )
-    terms = first.select(
-        F.col("t.category").alias("category"), F.col("t.item_id").alias("pos"), F.col("t.value").alias("value"),
-        F.array("t.alias").alias("aliases"),
-    )
+    bench = bench.withColumn("category", F.concat(F.lit("c"), (F.col("item_id") % 4).cast("string")))
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(2))
+    cut = bench.filter(F.size("w") > 0).select("item_id", "category", "w", F.explode(starts).alias("k"))
+    pair = lambda a, b: F.concat_ws(" ", F.get("w", F.col("k") + a), F.get("w", F.col("k") + b))
+    rows = cut.select(
+        (F.col("item_id") * 10_000 + F.col("k")).alias("pos"),
+        "category",
+        pair(0, 1).alias("value"),
+        F.filter(F.array(pair(1, 0), F.when(F.col("k") == 0, F.array_join("w", " "))), lambda x: x.isNotNull()).alias("aliases"),
+    )
+    first = rows.withColumn("key", term_key(F.col("value"))).filter("key != ''").groupBy("key").agg(
+        F.min_by(F.struct("pos", "category", "value", "aliases"), "pos").alias("t")
+    )
+    terms = first.select("t.category", "t.pos", "t.value", "t.aliases")
+    said = bench.select("category", "item_id", F.posexplode("w").alias("k", "keyword"))
+    said = said.withColumns({"pos": F.col("item_id") * 10_000 + F.col("k"), "key": term_key(F.col("keyword"))}).filter("key != ''")
     return {
         "categories": terms.select(F.col("category").alias("id"), F.concat(F.lit("Category "), "category").alias("title")).distinct(),
         "terms": terms,
-        "keywords": rows.select("category", F.col("item_id").alias("pos"), "keyword"),
+        "keywords": said.groupBy("category", "key").agg(F.min("pos").alias("pos"), F.min_by("keyword", "pos").alias("keyword")).drop("key"),
         "defaults": terms.groupBy("category").agg(F.min("pos").alias("pos"), F.min_by("value", "pos").alias("value")),
     }
 
@@ -492,30 +494,46 @@ FROM (SELECT item_id, text, string_split(trim(regexp_replace(text, '[ \t\n\r]+',
 SELECT CAST(doc_id AS VARCHAR) AS rec_id,
   trim(regexp_replace(replace(replace(replace(lower(text), 'ß', 'ss'), '+', ' plus '), '#', ' sharp '),
     '[^\p{L}\p{N}_]+', ' ', 'g')) AS key_text FROM documents""",
+    "bench_words": r"""
+SELECT item_id, 'c' || (item_id % 4) AS category, string_split(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), ' ') AS w FROM benchmark""",
     "bench_rows": r"""
-SELECT item_id, 'c' || (item_id % 4) AS category, concat_ws(' ', w[1], w[2]) AS value, concat_ws(' ', w[2], w[1]) AS alias,
-  coalesce(w[3], w[1]) AS keyword
-FROM (SELECT item_id, string_split(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), ' ') AS w FROM benchmark)""",
+SELECT item_id * 10000 + k AS pos, category, concat_ws(' ', w[k + 1], w[k + 2]) AS value, concat_ws(' ', w[k + 2], w[k + 1]) AS alias,
+  CASE WHEN k = 0 THEN array_to_string(w, ' ') END AS passage
+FROM (SELECT *, unnest(range(0, len(w), 2)) AS k FROM bench_words)""",
     "dict_terms": r"""
-SELECT category, item_id AS pos, value, alias, category || ':' || key AS term_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY key ORDER BY item_id) AS rn FROM (
+SELECT category, pos, value, alias, passage, category || ':' || key AS term_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS rn FROM (
     SELECT *, trim(regexp_replace(replace(replace(replace(lower(value), 'ß', 'ss'), '+', ' plus '), '#', ' sharp '),
-      '[^\p{L}\p{N}_]+', ' ', 'g')) AS key FROM bench_rows)) WHERE rn = 1""",
+      '[^\p{L}\p{N}_]+', ' ', 'g')) AS key FROM bench_rows) WHERE key <> '') WHERE rn = 1""",
     "dict_variants": r"""
-SELECT DISTINCT term_id, trim(regexp_replace(replace(replace(replace(lower(v), 'ß', 'ss'), '+', ' plus '), '#', ' sharp '),
-  '[^\p{L}\p{N}_]+', ' ', 'g')) AS key
-FROM (SELECT term_id, unnest([value, alias]) AS v FROM dict_terms)""",
+SELECT DISTINCT term_id, key FROM (SELECT term_id, trim(regexp_replace(replace(replace(replace(lower(v), 'ß', 'ss'), '+', ' plus '), '#', ' sharp '),
+      '[^\p{L}\p{N}_]+', ' ', 'g')) AS key
+  FROM (SELECT term_id, unnest([value, alias, passage]) AS v FROM dict_terms) WHERE v IS NOT NULL) WHERE key <> ''""",
     "dict_keywords": r"""
-SELECT category, item_id AS pos, trim(regexp_replace(replace(replace(replace(lower(keyword), 'ß', 'ss'), '+', ' plus '),
-  '#', ' sharp '), '[^\p{L}\p{N}_]+', ' ', 'g')) AS key FROM bench_rows""",
-    "term_hits": """
-SELECT rec_id, term_id, max(hits) AS hits FROM (
-  SELECT rec_id, term_id, (length(' ' || key_text || ' ') - length(replace(' ' || key_text || ' ', ' ' || key || ' ', '')))
-    // (length(key) + 2) AS hits
-  FROM doc_keys JOIN dict_variants ON contains(' ' || key_text || ' ', ' ' || key || ' '))
-GROUP BY rec_id, term_id""",
+SELECT category, key, min(pos) AS pos FROM (SELECT category, item_id * 10000 + k - 1 AS pos, trim(regexp_replace(replace(replace(replace(lower(word), 'ß', 'ss'), '+', ' plus '), '#', ' sharp '),
+      '[^\p{L}\p{N}_]+', ' ', 'g')) AS key
+  FROM (SELECT *, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM bench_words)) WHERE key <> '' GROUP BY category, key""",
 }
 
+
+def phrase_hits(name: str, texts: str, phrases: str) -> str:
+    """Tables that end in ``name(rec_id, key, hits)``: the keys of ``phrases`` in the texts ``rec_id, key_text``.
+
+    Phrases of one and two words are found by equality with word runs, longer ones by search;
+    the hits of what is found are counted in the text.
+    """
+    return f"""{name}_words AS MATERIALIZED (SELECT rec_id, string_split(key_text, ' ') AS w FROM {texts} WHERE key_text <> ''),
+{name}_keys AS MATERIALIZED (SELECT DISTINCT key, len(string_split(key, ' ')) AS n FROM {phrases}),
+{name}_runs AS MATERIALIZED (SELECT DISTINCT rec_id, key FROM (
+  SELECT rec_id, unnest(w) AS key FROM {name}_words
+  UNION ALL SELECT rec_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM {name}_words)
+  WHERE key IN (SELECT key FROM {name}_keys WHERE n <= 2)),
+{name}_found AS MATERIALIZED (SELECT rec_id, key FROM {name}_runs
+  UNION ALL SELECT rec_id, key FROM {texts} JOIN {name}_keys ON contains(' ' || key_text || ' ', ' ' || key || ' ') WHERE n > 2),
+{name} AS MATERIALIZED (SELECT rec_id, key, (length(' ' || key_text || ' ') - length(replace(' ' || key_text || ' ', ' ' || key || ' ', '')))
+    // (length(key) + 2) AS hits FROM {name}_found JOIN {texts} USING (rec_id))"""
+
+
 NEEDS = {
     "seg0": ("words",),
     "v_segments": ("seg0",),
@@ -523,10 +541,10 @@ NEEDS = {
     "v_turns": ("turn0",),
     "v_cues": ("words",),
     "v_asr": ("v_segments",),
+    "bench_rows": ("bench_words",),
     "dict_terms": ("bench_rows",),
     "dict_variants": ("dict_terms",),
-    "dict_keywords": ("bench_rows",),
-    "term_hits": ("doc_keys", "dict_variants"),
+    "dict_keywords": ("bench_words",),
 }
 
 
