@@ -1,8 +1,8 @@
-"""Byte counts as text, and splits of small inputs."""
+"""Byte counts as text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unit labels of the size text.
@@ -17,14 +17,3 @@ def size_text(size: Column) -> Column:
         last = power == len(SIZE_UNITS) - 1
         scaled = scaled.otherwise(text) if last else scaled.when(value < 1024 ** (power + 1), text)
     return scaled
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use the whole cluster for heavy per-row work on an input that comes in too few splits.
-
-    A large input has many splits and passes unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

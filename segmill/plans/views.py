@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from segmill.functions.arrays import let
-from segmill.functions.sizes import spread
 from segmill.functions.times import clock
 
 WORDS_PER_SEGMENT = 8
@@ -24,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return spread(df, "doc_id") if name == "documents" else df
+    # Dealt anew: the heavy work per document below must not depend on how the table was cut into files.
+    return df.repartition("doc_id") if name == "documents" else df
 
 
 def _words(text: Column) -> Column:
