@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from segmill.llm.groups import block_pairs, connected, roots, runs_of
 from segmill.session import checkpointed
 
-TABLES, HASHES = 8, 3
+TABLES, HASHES = 9, 3
 #: Rows of a bucket that one task compares with each other.
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 512
 
 
 def _size(width: int) -> int:

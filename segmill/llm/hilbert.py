@@ -25,9 +25,24 @@ BITS = 5
 PARTS = 256
 
 
-def text_rank(text: Column) -> Column:
-    """A number that orders texts by their first seven bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+def with_rank(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add ``name``: in how many rows ``text`` comes before this row's one (null for null), exact for texts of any length.
+
+    The distinct texts are counted, dealt by range and written with their part, so a part's
+    texts are ranked in one task each and only the parts' sums meet in one place.
+    """
+    counted = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_rows"))
+    dealt = counted.repartitionByRange("_text").select("_text", "_rows", F.spark_partition_id().alias("_deal"))
+    dealt = checkpointed(dealt)
+    inside = Window.partitionBy("_deal").orderBy("_text").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_deal").agg(F.sum("_rows").alias("_rows"))
+    before = Window.orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    parts = parts.select("_deal", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    ranked = dealt.join(parts, "_deal").select(
+        "_text", (F.col("_before") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).cast("double").alias(name)
+    )
+    ranked = checkpointed(ranked)  # written, so Spark knows its size before it joins
+    return df.drop(name).join(ranked, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
 def bands(df: DataFrame, dimensions: list[str], bits: int = BITS) -> list[Column]:

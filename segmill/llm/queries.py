@@ -9,7 +9,7 @@ from segmill.llm.bpe import decode, encode
 from segmill.llm.centroids import cluster, with_inertia
 from segmill.llm.chat import format_turns, read_back
 from segmill.llm.embeddings import near_duplicates as near_embeddings
-from segmill.llm.hilbert import hilbert_shards, text_rank
+from segmill.llm.hilbert import hilbert_shards, with_rank
 from segmill.llm.integers import digest
 from segmill.llm.lm_scoring import cross_entropy_difference
 from segmill.llm.packing import pack, token_pieces
@@ -65,10 +65,12 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        text_rank(F.col("lang")).alias("_lang"),
-        text_rank(F.col("source")).alias("_source"),
+        "lang",
+        "source",
         F.char_length("text").cast("double").alias("_length"),
     )
+    rows = checkpointed(rows)
+    rows = with_rank(with_rank(rows, "lang", "_lang"), "source", "_source").drop("lang", "source")
     placed = hilbert_shards(checkpointed(rows), ["_lang", "_source", "_length"], 24, ["doc_id", "text_crc32", "size"], "size")
     return placed.select(
         "doc_id",

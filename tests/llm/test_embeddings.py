@@ -57,14 +57,14 @@ def test_against_all_pairs(spark, monkeypatch, block):
 def test_recall_of_candidate_pairs():
     """Pairs at the threshold itself, the hardest to find, meet in some bucket."""
     rng = np.random.default_rng(7)
-    for width in (8, 64, 300):
+    for width, least in ((8, 1.0), (16, 1.0), (64, 1.0), (128, 1.0), (300, 0.9995), (384, 0.9995), (768, 0.9985)):
         x = rng.normal(size=(2000, width))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         aside = rng.normal(size=x.shape)
         aside -= (aside * x).sum(1, keepdims=True) * x
         aside /= np.linalg.norm(aside, axis=1, keepdims=True)
         y = 0.98 * x + math.sqrt(1 - 0.98**2) * aside
-        assert embeddings._meet(embeddings.nearest_axes(x), embeddings.nearest_axes(y)).any(1).mean() > 0.99
+        assert embeddings._meet(embeddings.nearest_axes(x), embeddings.nearest_axes(y)).any(1).mean() >= least
 
 
 def test_repeated_rows(spark):
