@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import regex
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -82,12 +83,34 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     first[(ends - sizes)[sizes > 0]] = True
     starts = _starts(points, first)
     begin = np.flatnonzero(starts)
-    end = np.append(begin[1:], len(points)).tolist()
+    width = np.diff(begin, append=len(points))
     before = np.concatenate(([0], np.cumsum(starts)))
-    forms: dict[str, int] = {}
-    number = forms.setdefault
-    codes = [number(whole[a:b], len(forms)) for a, b in zip(begin.tolist(), end, strict=True)]
-    return np.array(codes, np.int64), before[ends] - before[ends - sizes], list(forms)
+    codes, forms = _numbered(whole, points, begin, width)
+    return codes, before[ends] - before[ends - sizes], forms
+
+
+def _numbered(whole: str, points: np.ndarray, begin: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The number of each piece's distinct form, and the forms.
+
+    Up to seven code points below 256 and their number fill a 64-bit integer, so such
+    pieces are told apart by integers that spell them out; others by their strings.
+    """
+    short = (width <= 7) & (np.add.reduceat(points > 255, begin) == 0)
+    at, size = begin[short], width[short]
+    padded = np.concatenate([points, np.zeros(7, points.dtype)]).astype(np.uint64)
+    keys = size.astype(np.uint64) << np.uint64(56)
+    for k in range(7):
+        keys |= np.where(size > k, padded[at + k], np.uint64(0)) << np.uint64(8 * k)
+    short_codes, uniques = pd.factorize(keys)
+    seen = np.empty(len(uniques), np.int64)
+    seen[short_codes[::-1]] = np.arange(len(short_codes) - 1, -1, -1)
+    forms = [whole[a : a + n] for a, n in zip(at[seen].tolist(), size[seen].tolist(), strict=True)]
+    others: dict[str, int] = {}
+    number, known = others.setdefault, len(forms)
+    long = [number(whole[a : a + n], known + len(others)) for a, n in zip(begin[~short].tolist(), width[~short].tolist(), strict=True)]
+    codes = np.empty(len(begin), np.int64)
+    codes[short], codes[~short] = short_codes, long
+    return codes, [*forms, *others]
 
 
 def chunks(rows: Iterable[tuple], limit: int = CHUNK) -> Iterator[tuple[list[tuple], list[str], list[bool]]]:
