@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmill.functions.arrays import let
 from segmill.functions.text import fold_yo, strip
 from segmill.functions.udfs import html_unescape, nfkc_casefold
+from segmill.operators.distance import with_edits
 
 # Token classes of the error rates.
 RU_EN_WORD = r"[a-zа-я0-9]+"
@@ -43,39 +43,21 @@ def _words(text: Column, token: str) -> Column:
     return F.regexp_extract_all(fold_yo(nfkc_casefold(html_unescape(text))), F.lit(token), F.lit(0))
 
 
-def _code_point(index: Column) -> Column:
-    """A distinct character per word number: the CJK block first, then the supplementary planes."""
-    number = index + F.when(index < 20_000, F.lit(19_968)).otherwise(F.lit(65_536 - 20_000))
-    return F.decode(F.unhex(F.lpad(F.hex(number.cast("bigint")), 8, "0")), "UTF-32")
-
-
-def _word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance in words: each distinct word of the pair becomes one character."""
-    distinct = F.array_distinct(F.concat(reference, hypothesis))
-    numbered = let(distinct, lambda words: F.map_from_arrays(words, F.transform(words, lambda w, i: _code_point(i))))
-    spell = lambda words, table: F.array_join(F.transform(words, lambda w: F.element_at(table, w)), "")
-    return let(numbered, lambda table: F.levenshtein(spell(reference, table), spell(hypothesis, table)))
-
-
 def word_error_rate(pairs: DataFrame, terms: Column | None = None, token: str = RU_EN_WORD) -> DataFrame:
     """WER and CER in percent of each pair, with counts; ``terms`` are looked up in the hypothesis.
 
-    Words are numbered inside the pair and written as one character each, so the
-    built-in edit distance serves both rates. The cost is the product of the two
-    lengths, spread by pair.
+    Distances of pairs of any length: see ``segmill.operators.distance``.
     """
     rows = pairs.withColumns(
-        {"_ref": _words(F.col("reference"), token), "_hyp": _words(F.col("hypothesis"), token)}
+        {"_ref": F.array_join(_words(F.col("reference"), token), " "), "_hyp": F.array_join(_words(F.col("hypothesis"), token), " ")}
     )
-    word_edits = _word_edits(F.col("_ref"), F.col("_hyp"))
-    ref_chars, hyp_chars = F.array_join("_ref", ""), F.array_join("_hyp", "")
+    rows = with_edits(rows, F.col("_ref"), F.col("_hyp"))
+    count = lambda words: F.when(F.col(words) == "", 0).otherwise(F.size(F.split(words, " ")))
     rows = rows.withColumns(
         {
-            "word_edits": word_edits,
-            "char_edits": F.levenshtein(ref_chars, hyp_chars),
-            "reference_words": F.size("_ref"),
-            "hypothesis_words": F.size("_hyp"),
-            "_ref_chars": F.length(ref_chars),
+            "reference_words": count("_ref"),
+            "hypothesis_words": count("_hyp"),
+            "_ref_chars": F.length(F.replace(F.col("_ref"), F.lit(" "), F.lit(""))),
         }
     )
     percent = lambda edits, length: F.bround(F.col(edits) / F.greatest(F.lit(1), F.col(length)) * 100, 2)
