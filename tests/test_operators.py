@@ -138,6 +138,15 @@ def test_confidence_and_threshold(spark):
     assert {r.rec_id: r.threshold for r in found} == {k: sorted(vs)[max(0, len(vs) // 4 - 1)] for k, vs in values.items()}
 
 
+def test_values_close_together_share_no_bucket(spark):
+    """All but one value lie in a thousandth of the span; no bucket holds more than a hundredth of them."""
+    ids = spark.range(20_000)
+    counted = ids.selectExpr("'r' AS rec_id", "IF(id = 0, -1000D, -id / 20000D) AS avg_logprob", "1L AS n")
+    sizes = rev.value_buckets(counted, 256).groupBy("bucket").count().agg({"count": "max"}).first()
+    assert sizes[0] <= 200
+    assert rev.low_confidence_threshold(counted).first().threshold == -15001 / 20000
+
+
 def sequential_budget(rows, share):
     span = max(r[3] for r in rows) - min(r[2] for r in rows)
     used, taken = 0, []
