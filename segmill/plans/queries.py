@@ -18,6 +18,7 @@ from segmill.operators import segments as seg
 from segmill.operators import speakers as spk
 from segmill.operators import tasks as tsk
 from segmill.plans import views as v
+from segmill.session import new_place
 from segmill.sinks import transcripts as out
 from segmill.sources import captions as src
 from segmill.sources import dictionary as dic
@@ -99,7 +100,9 @@ def _report_recordings(spark, d):
 def write_transcripts(spark, d):
     cleaned = seg.clean_segments(v.segments(spark, d))
     units = out.transcript_units(cleaned, _flat_blocks(spark, d), _report_recordings(spark, d))
-    return out.document_parts(units).select("rec_id", "format", _long("part"), "content")
+    place = new_place(spark)
+    out.write_transcripts(units, place)
+    return out.read_transcripts(spark, place).select("rec_id", "format", _long("part"), "content")
 
 
 def transcript_paragraphs_text(spark, d):
@@ -121,9 +124,10 @@ def assign_output_names(spark, d):
 
 
 def evaluation_report(spark, d):
-    """The report rows as the JSON text the sink writes."""
-    rows = word_error_rate(spark, d).select("rec_id", "reference_words", "hypothesis_words", "wer_percent", "cer_percent")
-    return rows.select("rec_id", F.to_json(F.struct("rec_id", "reference_words", "hypothesis_words")).alias("report"))
+    """The report rows as the sink has written them."""
+    place = new_place(spark)
+    out.write_report(word_error_rate(spark, d).select("rec_id", "reference_words", "hypothesis_words"), place)
+    return out.read_report(spark, place).select(F.get_json_object("report", "$.rec_id").alias("rec_id"), "report")
 
 
 def read_request_events(spark, d):

@@ -41,12 +41,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_place(spark: SparkSession) -> str:
+    """A path in the application's folder that nothing uses yet."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written table.
 
     For results that several later steps read: they neither repeat the work nor
     depend on executors that held it.
     """
-    place = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    place = new_place(df.sparkSession)
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)

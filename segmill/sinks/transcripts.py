@@ -6,7 +6,7 @@ lines. Units stay rows, so a recording of any length is written by many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +14,7 @@ from segmill.functions.text import collapse_spaces
 from segmill.functions.times import clock
 from segmill.operators.ordered import CHUNK_ROWS, Running, position_chunk, with_running
 from segmill.operators.segments import number_blocks
+from segmill.sinks.files import read_files, write_files
 
 # Labels of the Markdown header.
 NO_AUTHOR = "Не указан"
@@ -132,18 +133,42 @@ def document_parts(units: DataFrame, units_per_part: int = 20_000) -> DataFrame:
     return parts.select("rec_id", "format", "part", content.alias("content"))
 
 
-def write_transcripts(units: DataFrame, path: str, mode: str = "error") -> None:
-    """Write documents as text files under ``format=/rec_id=``.
+def _file_name() -> Column:
+    """``rec_id.format``, later parts ``rec_id.part00001.format``; bytes of an id outside ``A-Za-z0-9-`` become ``~2F`` and so on."""
+    plain = F.regexp_replace(F.url_encode("rec_id"), r"\+", "%20")
+    for mark in "._*":
+        plain = F.replace(plain, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+    name = F.when(F.col("rec_id") == "", "~").otherwise(F.replace(plain, F.lit("%"), F.lit("~")))
+    return F.concat(name, F.when(F.col("part") > 0, F.format_string(".part%05d", "part")).otherwise(""), F.lit("."), F.col("format"))
 
-    Rows are range-partitioned by document and position: a long document becomes
-    several files whose names sort in document order.
+
+def write_transcripts(units: DataFrame, path: str, mode: str = "error", units_per_part: int = 20_000) -> None:
+    """Write each document as one file below the folder ``path``, a long one as several whose names sort in order.
+
+    ``mode`` as in ``write_files``. An id must not be null and, with its escapes, fit a file name.
     """
-    value = F.when(F.col("unit") == 0, F.col("text")).otherwise(F.concat(F.lit("\n"), F.col("text")))
-    keys = ["format", "rec_id", "unit"]
-    rows = units.select(*keys, value.alias("value")).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    rows.select("format", "rec_id", "value").write.mode(mode).partitionBy("format", "rec_id").text(path)
+    parts = document_parts(units, units_per_part)
+    write_files(parts.select(_file_name().alias("name"), "content"), path, mode)
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """``rec_id, format, part, content`` of a folder that ``write_transcripts`` has filled."""
+    pieces = F.split("name", r"\.")
+    bare = F.url_decode(F.replace(F.get(pieces, F.lit(0)), F.lit("~"), F.lit("%")))
+    later = F.regexp_extract("name", r"\.part(\d+)\.", 1)
+    return read_files(spark, path).select(
+        F.when(F.startswith("name", F.lit("~.")), "").otherwise(bare).alias("rec_id"),
+        F.element_at(pieces, -1).alias("format"),
+        F.when(later == "", 0).otherwise(F.try_to_number(later, F.lit("999999999"))).cast("int").alias("part"),
+        "content",
+    )
 
 
 def write_report(df: DataFrame, path: str, mode: str = "error") -> None:
     """Evaluation rows as JSON lines."""
     df.write.mode(mode).json(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON texts of a written report as ``report``."""
+    return spark.read.text(path).withColumnRenamed("value", "report")

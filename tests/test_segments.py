@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from segmill.functions.times import clock
@@ -110,7 +111,30 @@ def test_written_files_equal_documents(spark, tmp_path):
     segs = spark.createDataFrame([("r", i, i * 1000, i * 1000 + 900, f"t{i}", None) for i in range(50)], SCHEMA)
     recs = spark.createDataFrame([("r",)], "rec_id string")
     units = out.vtt_units(segs, recs)
-    out.write_transcripts(units, str(tmp_path / "out"))
-    files = sorted((tmp_path / "out" / "format=vtt" / "rec_id=r").glob("part-*"))
-    text = "".join(f.read_text() for f in files)
+    path = str(tmp_path / "out")
+    out.write_transcripts(units, path, units_per_part=20)
+    names = ["r.part00001.vtt", "r.part00002.vtt", "r.vtt"]
+    files = {f.name: f for f in (tmp_path / "out").glob("part-*/*.vtt")}
+    assert sorted(files) == names
+    text = "".join(files[name].read_text() for name in (names[2], *names[:2]))
     assert text == out.document_parts(units).first().content
+    with pytest.raises(FileExistsError):
+        out.write_transcripts(units, path)
+    assert not list((tmp_path / "out").glob("_attempts*"))
+
+
+def test_written_files_read_back(spark, tmp_path):
+    ids = ["", "a/b.c_d+e*~%", "é \U0001d4b3", "r.part00001", "-"]
+    units = spark.createDataFrame([(k, f, u, f"{k}é{u}") for k in ids for f in ("md", "txt") for u in range(3)], "rec_id string, format string, unit long, text string")
+    out.write_transcripts(units, str(tmp_path / "out"), units_per_part=2)
+    rows = lambda df: sorted(map(tuple, df.select("rec_id", "format", "part", "content").collect()))
+    assert rows(out.read_transcripts(spark, str(tmp_path / "out"))) == rows(out.document_parts(units, 2))
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    from segmill.sinks.files import write_files
+
+    rows = spark.range(0, 40, 1, 4).selectExpr("CAST(id AS STRING) AS name", "IF(id = 39, raise_error('broken'), 'x') AS content")
+    with pytest.raises(Exception, match="broken"):
+        write_files(rows, str(tmp_path / "out"))
+    assert not list((tmp_path / "out").glob("part-*")) and not (tmp_path / "out" / "_SUCCESS").exists()
