@@ -107,3 +107,44 @@ def test_every_occurrence_of_a_telling_term(spark):
         (101, f" {far}\n{far} [EMAIL]"),
         (102, "filler without"),
     ]
+
+
+def test_two_hundred_thousand_matches(spark):
+    text = "".join(f"w a{k}@b.example " for k in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    row = pii.find(docs).where("doc_id = 1").select(F.size("base").alias("n"), F.col("base")[199_999]["end"].alias("end")).first()
+    assert (row.n, row.end) == (200_000, len(text) - 1)
+    texts = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert texts == {1: "w [EMAIL] " * 200_000, 2: "x"}
+
+
+def test_many_terms_and_entities_of_one_text(spark):
+    """10,000 rare terms and 1,000 entities of the same two texts are one pair of classes; each term is still found."""
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    body = " ".join(f"zz{letters(k)}" for k in range(10_000)) + " " + " ".join(f"e{k}@b.example" for k in range(1_000))
+    rows = [(k, f"filler words number{k}") for k in range(60)] + [(100, body), (101, body + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = pii._scanned(docs, "doc_id", "text")
+    assert pii._weighed(scanned, docs, "text")["told"].count() == 1
+    kinds = F.expr("size(filter(spans, s -> s.kind = 'term'))")
+    # The domain's words are inside the entities, so only the texts' own words are terms.
+    assert {r.doc_id: r.n for r in pii.find(docs).where("doc_id >= 100").select("doc_id", kinds.alias("n")).collect()} == {100: 10_000, 101: 10_000}
+
+
+def test_overlapping_spans_across_chunks(spark):
+    """An address as long as several chunks, a phone number inside a card's digits, marks at chunk edges."""
+    long = "a" * (2 * pii.CHUNK + 5) + "@b.example"
+    edge = "\u2603" * (pii.CHUNK - 3) + " x@y.zz"
+    both = "+4111 1111 1111 1111 end"
+    docs = spark.createDataFrame([(1, f"{edge} {long} tail"), (2, both), (3, f"{edge}")], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    head = "\u2603" * (pii.CHUNK - 3)
+    assert texts == {1: f"{head} [EMAIL] [EMAIL] tail", 2: "+[CARD] end", 3: f"{head} [EMAIL]"}
+
+
+def test_names_that_the_operator_uses_itself(spark):
+    names = ["row", "row1", "row2", "t", "c", "chunk", "marks", "made", "base", "spans", "at", "entities", "_row1", "_spans", "_key1"]
+    docs = spark.createDataFrame([(1, "a@b.example x")], "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    assert out.first().asDict() == {"doc_id": 1, "text": "[EMAIL] x", **{n: n for n in names}}
