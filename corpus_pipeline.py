@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from segmill.llm.packing import pack, token_pieces
 from segmill.llm.pii import sanitise
 from segmill.llm.quality import keep_documents
-from segmill.llm.shingles import keep_one
+from segmill.llm.simhash import keep_one
 from segmill.llm.tables import table, vocabulary
 from segmill.session import checkpointed
 
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near-duplicates (SimHash fingerprints, linked at 4 or fewer differing bits) stays."""
     return keep_one(docs)
 
 
