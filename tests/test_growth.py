@@ -21,3 +21,34 @@ def test_files_without_entities_stay_out_of_python(spark):
     told = {r.rec_id: r.text for r in src.captions_to_reference_text(files).collect()}
     assert told == {"a": "a & b", "b": "c  d", "c": None}
     assert "contains" in _plan(src.captions_to_reference_text(files)).lower()
+
+
+def test_words_that_never_meet_send_no_places(spark):
+    """Texts full of the words of two-word phrases, none of which occurs."""
+    from segmill.operators import glossary as glo
+
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = lambda rows: sum(rows.apply(i).shuffleWriteBytes() for i in range(rows.size()))
+    said = "abcdef"
+    texts = [(str(k), " ".join(f"{said[(i * 7 + k + i // 5) % 6]} x{i}" for i in range(600))) for k in range(40)]
+    phrases = spark.createDataFrame([(f"{a} {b}",) for a in said for b in said], "key string")
+    before = written(stages())
+    assert glo.match_phrases(spark.createDataFrame(texts, "rec_id string, key_text string"), phrases).count() == 0
+    assert written(stages()) - before < 60_000
+
+
+def test_keys_share_a_state(spark):
+    """As many calls into Python as buckets, not as keys."""
+    import datetime
+
+    from segmill.streaming import ordered, runs, state
+
+    rows = [(f"t{k % 40}", k, "update", "a", 1.0, None, datetime.datetime(2024, 1, 1, 0, k), 0) for k in range(60)]
+    df = spark.createDataFrame(rows, "task_id string, seq bigint, kind string, stage string, progress double, details map<string,double>, ts timestamp, turn int")
+    kept, ordered.BUCKETS = ordered.BUCKETS, 2
+    try:
+        out = runs.run_in_turns(df, "turn", 1, state.task_state_stream, "update")
+    finally:
+        ordered.BUCKETS = kept
+    got = {r.task_id: r.last_seq for r in runs._newest(out, "task_id").collect()}
+    assert got == {f"t{k}": k + 40 if k < 20 else k for k in range(40)}
