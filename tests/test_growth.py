@@ -52,3 +52,12 @@ def test_keys_share_a_state(spark):
         ordered.BUCKETS = kept
     got = {r.task_id: r.last_seq for r in runs._newest(out, "task_id").collect()}
     assert got == {f"t{k}": k + 40 if k < 20 else k for k in range(40)}
+
+
+def test_a_missing_glossary_entry_hides_no_words(spark):
+    from segmill.operators import review as rev
+
+    rows = [("a", 0, 0, 1000, "Git rare rare und git", ["git", "git", None]), ("b", 0, 0, 1000, "Git rare", None)]
+    df = spark.createDataFrame(rows, "rec_id string, seg_idx int, start_ms bigint, end_ms bigint, text string, glossary array<string>")
+    got = {r.rec_id: (r.glossary_hits, r.unknown_latin) for r in rev.segment_features(df).collect()}
+    assert got == {"a": (4, 3), "b": (0, 2)}
