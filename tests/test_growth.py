@@ -1,5 +1,7 @@
 """Work that must not be repeated as tables grow."""
 
+from pyspark.sql import functions as F
+
 from segmill.sources import captions as src
 
 
@@ -61,3 +63,18 @@ def test_a_missing_glossary_entry_hides_no_words(spark):
     df = spark.createDataFrame(rows, "rec_id string, seg_idx int, start_ms bigint, end_ms bigint, text string, glossary array<string>")
     got = {r.rec_id: (r.glossary_hits, r.unknown_latin) for r in rev.segment_features(df).collect()}
     assert got == {"a": (4, 3), "b": (0, 2)}
+
+
+def test_texts_are_cleaned_once_per_condition(spark):
+    from segmill.functions.text import compact, strip
+    from segmill.operators import segments as seg
+
+    df = spark.createDataFrame([("a", 0, 0, 1, " ab ")], "rec_id string, seg_idx int, start_ms bigint, end_ms bigint, text string")
+    assert _plan(seg.clean_segments(df)).count("regexp_replace(") == 2
+    letters = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
+    assert "translate(" not in _plan(letters.select(compact(F.col("c"))))
+    kept = {chr(r.id): r.k for r in letters.select("id", compact(F.col("c")).alias("k")).filter("k != ''").collect()}
+    plain = {c: c for c in "abcdefghijklmnopqrstuvwxyz0123456789" + "".join(map(chr, range(ord("а"), ord("я") + 1)))}
+    assert kept == plain | {"ё": "е"}
+    spaces = {chr(r.id) for r in letters.filter("c != ''").filter(strip(F.col("c")) == "").collect()}
+    assert spaces == {chr(r.id) for r in letters.filter(F.col("c").rlike(r"(?U)^[\s\x1c-\x1f]$")).collect()}
