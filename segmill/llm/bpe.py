@@ -38,6 +38,14 @@ from segmill.llm.vocabularies import encoding
 BLOCK_CHARS, BLOCK_WORDS = 5_000_000, 150_000
 #: Buckets of words, and how many distinct words of its bucket a task remembers with their ids.
 BUCKETS, REMEMBERED = 1024, 100_000
+#: Rows of an Arrow batch that are Python objects at once.
+SLICE = 256
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches, which may hold tens of megabytes, a few rows at a time."""
+    for batch in batches:
+        yield from (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE))
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -78,7 +86,7 @@ class _Block:
         numbers, new = self.seen.number(forms)
         self.words += new
         self.dealt += [xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS for word in new]
-        self.codes.append(numbers[codes])
+        self.codes.append(numbers[codes].astype(np.uint32))
         for (key,), count, ended in zip(keys, counts.tolist(), ends, strict=True):
             open_row += count
             if ended:
@@ -96,7 +104,7 @@ class _Block:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
-    rows = chain.from_iterable(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for b in batches)
+    rows = chain.from_iterable(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for b in _slices(batches))
     block, open_row = _Block(), 0
     for keys, texts, ends in chunks(rows):
         open_row = block.add(keys, texts, ends, open_row)
@@ -126,7 +134,7 @@ def encode(docs: DataFrame, vocabulary: Broadcast, doc_id: str = "doc_id", text:
 
     def positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            codes = np.concatenate([np.zeros(0, np.int64), *block.codes])
+            codes = np.concatenate([np.zeros(0, np.uint32), *block.codes])
             columns = [
                 pa.array([block.key()]),
                 pa.array([block.rows], pa.list_(arrow_kind)),
@@ -186,7 +194,7 @@ def decode(encoded: DataFrame, vocabulary: Broadcast) -> DataFrame:
     """Add ``decoded``, the bytes that the ids stand for; the token-byte table has a row for each of the vocabulary's ids."""
 
     def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             every = batch.column("ids").to_pylist()
             out = [None if x is None else decode_ids(vocabulary.value, np.frombuffer(x, "<u4")) for x in every]
             held = {name: batch.column(name) for name in batch.schema.names if name != "decoded"}

@@ -28,7 +28,7 @@ _CERTAIN = regex.compile(r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])")
 
 @cache
 def _classes() -> np.ndarray:
-    every = "".join(map(chr, range(0x110000)))
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")  # no object per character
     table = np.zeros(len(every), np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for run in regex.finditer(pattern, every):

@@ -158,3 +158,21 @@ def test_packed_documents(spark):
     assert max(ends.values()) <= 64 and len(ends) == -(-sum(ends.values()) // 64)
     empty = packing.token_pieces(nothing(docs), vocabulary(spark, "byte_bpe_50k.json"))
     assert packing.pack(empty, ["doc_id", "start"]).count() == 0
+
+
+def test_a_batch_is_not_taken_into_python_whole():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from segmill.llm import bpe, pretokens
+
+    pretokens._classes.cache_clear()
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20_000)), "text": pa.array(["a" * 1000]).take(pa.array([0] * 20_000))})
+    tracemalloc.start()
+    rows = [row for block in bpe._blocks(iter([batch])) for row in block.rows]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == list(range(20_000))
+    assert peak < 25_000_000
+    assert [b.num_rows for b in bpe._slices([batch.slice(0, 600)])] == [256, 256, 88]
