@@ -78,3 +78,17 @@ def test_texts_are_cleaned_once_per_condition(spark):
     assert kept == plain | {"ё": "е"}
     spaces = {chr(r.id) for r in letters.filter("c != ''").filter(strip(F.col("c")) == "").collect()}
     assert spaces == {chr(r.id) for r in letters.filter(F.col("c").rlike(r"(?U)^[\s\x1c-\x1f]$")).collect()}
+
+
+def test_caption_tokens_are_compared_once(spark):
+    from segmill.operators import captions as cap
+
+    texts = ["a b c", "a b c", "b c d", "b c d e f", "b c", "c x", "word", "word y", "z", "p q p q", "p q r"]
+    cues = spark.createDataFrame([("a", k, k * 1000, k * 1000 + 1010, t) for k, t in enumerate(texts)], "rec_id string, cue_idx int, start_ms bigint, end_ms bigint, text string")
+    acted = cap.caption_actions(cues)
+    got = [(r.action, r.new_text) for r in acted.orderBy("cue_idx").collect()]
+    assert got == [
+        ("new", "a b c"), ("same", ""), ("shifted", "d"), ("grown", "e f"), ("shrunk", ""), ("new", "c x"),
+        ("new", "word"), ("grown", "y"), ("new", "z"), ("new", "p q p q"), ("shifted", "r"),
+    ]
+    assert _plan(acted).count("sequence(") == 1
