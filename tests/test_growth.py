@@ -92,3 +92,15 @@ def test_caption_tokens_are_compared_once(spark):
         ("new", "word"), ("grown", "y"), ("new", "z"), ("new", "p q p q"), ("shifted", "r"),
     ]
     assert _plan(acted).count("sequence(") == 1
+
+
+def test_long_candidates_are_not_cleaned(spark):
+    """What has too many plain letters or words stays out of the normaliser; what only looks long does not."""
+    from segmill.operators import glossary as glo
+
+    raws = ["one two three four five", "one two three four five six", "x" * 64, "x" * 65, "@ " * 80 + "kept" + " @" * 80, "\uff21" * 65, "a b c d e " + "@" * 90, "e\u0301" * 40]
+    rows = spark.createDataFrame([("a", k, raw) for k, raw in enumerate(raws)], "rec_id string, pos int, raw string")
+    got = [r.value for r in glo.clean_custom_terms(rows).orderBy("pos").collect()]
+    assert got == ["one two three four five", "x" * 64, "kept", "a b c d e", "\u00e9" * 40]
+    plan = _plan(glo.clean_custom_terms(rows))
+    assert "[A-Za-z0-9][^ ]* " in plan and plan.count("(?U)[^") <= 4
