@@ -104,3 +104,22 @@ def test_long_candidates_are_not_cleaned(spark):
     assert got == ["one two three four five", "x" * 64, "kept", "a b c d e", "\u00e9" * 40]
     plan = _plan(glo.clean_custom_terms(rows))
     assert "[A-Za-z0-9][^ ]* " in plan and plan.count("(?U)[^") <= 4
+
+
+def test_document_texts_move_once(spark):
+    import hashlib
+
+    from segmill.sinks import transcripts as out
+
+    noise = lambda k: "".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest() for i in range(30))
+    units = spark.createDataFrame([(f"r{k % 7}", "txt", k, noise(k)) for k in range(300)], "rec_id string, format string, unit bigint, text string")
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = lambda rows: sum(rows.apply(i).shuffleWriteBytes() for i in range(rows.size()))
+    start = written(stages())
+    units.repartition(4, "rec_id").write.format("noop").mode("overwrite").save()
+    once = written(stages()) - start
+    out.document_parts(units, 100).write.format("noop").mode("overwrite").save()
+    assert written(stages()) - start - once < 1.5 * once
+    whole = {(r.rec_id, r.part): r.content for r in out.document_parts(units, 100).collect()}
+    assert sorted(whole) == [(f"r{k}", p) for k in range(7) for p in range(3)]
+    assert whole["r3", 0] + whole["r3", 1] + whole["r3", 2] == "\n\n".join(noise(k) for k in range(3, 300, 7)) + "\n"
