@@ -123,3 +123,50 @@ def test_document_texts_move_once(spark):
     whole = {(r.rec_id, r.part): r.content for r in out.document_parts(units, 100).collect()}
     assert sorted(whole) == [(f"r{k}", p) for k in range(7) for p in range(3)]
     assert whole["r3", 0] + whole["r3", 1] + whole["r3", 2] == "\n\n".join(noise(k) for k in range(3, 300, 7)) + "\n"
+
+
+def test_short_pairs_are_aligned_in_their_row(spark, monkeypatch):
+    """Nothing is shuffled for short texts, and rows and joins agree, also where words and triples come again."""
+    import random
+
+    from segmill.operators import alignment as ali
+
+    rng, rows = random.Random(9), [("r", 900, None, " y "), ("r", 901, "z z z", None), ("r", 902, "a A a a", "a a a a a")]
+    for k in range(400):
+        words = rng.choices("ab", k=rng.randint(0, 9)) + rng.sample([f"w{i}" for i in range(30)], rng.randint(0, 9))
+        told = list(words)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(told))
+            told[at : at + rng.randint(0, 2)] = rng.choices(["a", "b", "x,", "y y", "- "], k=rng.randint(0, 2))
+        rows.append(("r", k, " ".join(words) + rng.choice(["", ".", " ?"]), rng.choice(["", "well, "]) + " ".join(told)))
+    pairs = spark.createDataFrame(rows, "rec_id string, seg_idx int, original string, revised string").repartition(3)
+    pairs.collect()
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    before = written()
+    near = {r.seg_idx: r.aligned for r in ali.align_revision_boundaries(pairs).collect()}
+    assert written() - before <= 2 * len(rows)  # the test's own repartition, read for short and for long ones
+    monkeypatch.setattr(ali, "ROW_CHARS", -1)
+    assert near == {r.seg_idx: r.aligned for r in ali.align_revision_boundaries(pairs).collect()}
+
+
+def test_runs_of_a_row_are_those_of_the_joins(spark):
+    import random
+
+    from pyspark.sql import types as T
+
+    from segmill.operators import alignment as ali
+
+    rng, rows = random.Random(3), []
+    for k in range(200):
+        a = rng.choices("abcd", k=rng.randint(0, 14))
+        rows.append((k, a, a[rng.randint(0, 3) : 11] + rng.choices("abcd", k=rng.randint(0, 5))))
+    pairs = spark.createDataFrame(rows, "key int, original_words array<string>, revised_words array<string>")
+    joined = ali.matching_runs(pairs, ["key"])
+    inside = pairs.select("key", F.inline(ali.row_runs(F.col("original_words"), F.col("revised_words"))))
+    told = lambda df: sorted((r.key, r.a, r.b, r["size"]) for r in df.collect())
+    assert told(joined) == told(inside) and dict(inside.dtypes)["a"] == T.IntegerType().simpleString()
+    chains = {r.key: tuple(r.c) for r in pairs.select("key", ali.chain_of(ali.row_runs(F.col("original_words"), F.col("revised_words"))).alias("c")).collect() if r.c}
+    rows = ali._with_row_chain(pairs, "original_words", "revised_words").filter("_c IS NOT NULL")
+    assert chains == {r.key: (r.a, r.b, r.a_end, r.b_end) for r in ali.heaviest_chain(joined, ["key"]).collect()}
+    assert chains == {r.key: tuple(r["_c"]) for r in rows.collect()}
