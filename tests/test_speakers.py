@@ -76,3 +76,36 @@ def test_crosstalk_and_a_day_long_turn(spark):
     intervals = spark.createDataFrame([("r", s, e) for _, _, s, e, _ in segments], "rec_id string, s0 bigint, s1 bigint")
     swept = spk._overlaps(intervals, usable)
     assert swept.count() <= len(segments) * 41
+
+
+@pytest.mark.parametrize("limits", [{}, {"NEAR_TURNS": 3}, {"NEAR_MS": 300}, {"NEAR_MS": 300, "NEAR_PLACES": 2}])
+def test_lists_and_sweep_agree(spark, monkeypatch, limits):
+    """Long intervals, crowded places and lasting turns are swept, the rest is told by the turns of its place."""
+    for name, value in limits.items():
+        monkeypatch.setattr(spk, name, value)
+    rng = random.Random(len(limits))
+    segments, turns = [], []
+    for rec in "abc":
+        for k in range(80):
+            at = rng.randrange(0, 9_000, 50)
+            segments.append((rec, k, at - 100, at + rng.choice([-50, 0, 100, 299, 300, 301, 2000]), "x"))
+        for _ in range(rng.choice([5, 40])):
+            at = rng.randrange(-2_000, 11_000, 50)
+            turns.append((rec, at, at + rng.choice([0, 50, 100, 400, 4000 if rec == "c" else 300]), rng.randrange(-1, 4)))
+    segments.append(("none", 0, 0, 100, "x"))
+    check(spark, segments, turns + turns[::4])
+    check(spark, segments, turns, nearest=False)
+
+
+def test_sparse_turns_make_no_row_per_speaker(spark):
+    """30 speakers in turn: a segment is not asked about those who are far away."""
+    turns = [("r", k * 1000, k * 1000 + 900, k % 30) for k in range(600)]
+    segments = [("r", k, k * 500, k * 500 + 400, "x") for k in range(1200)]
+    seg = spark.createDataFrame(segments, SEGMENTS)
+    trn = spark.createDataFrame(turns, TURNS)
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    before = written()
+    got = {r.seg_idx: r.speaker for r in spk.assign_speakers(seg, trn).collect()}
+    assert written() - before < 10 * len(segments)
+    assert got == {k: k // 2 % 30 for k in range(1200)}
