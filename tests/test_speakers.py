@@ -109,3 +109,36 @@ def test_sparse_turns_make_no_row_per_speaker(spark):
     got = {r.seg_idx: r.speaker for r in spk.assign_speakers(seg, trn).collect()}
     assert written() - before < 10 * len(segments)
     assert got == {k: k // 2 % 30 for k in range(1200)}
+
+
+@pytest.mark.parametrize("close", [5_000, 300, 0])
+def test_tiny_turns_near_and_far(spark, monkeypatch, close):
+    """By pairs, by the sweep, or both: the nearest stable turn of all."""
+    monkeypatch.setattr(spk, "CLOSE_MS", close)
+    rng, turns = random.Random(5), []
+    for rec in "ab":
+        for _ in range(12):
+            at = rng.randrange(0, 60_000, 100)
+            turns.append((rec, at, at + rng.choice([2000, 3000, 3000]), rng.randrange(2)))
+        for k in range(10):
+            at = rng.randrange(-1_000, 70_000, 100)
+            turns.append((rec, at, at + rng.choice([100, 200, 1000 if rec == "b" else 100]), 2 + k))
+    turns += turns[::5]
+    want = []
+    for rec in "ab":
+        rows = [t for t in turns if t[0] == rec]
+        spoken = {w: sum(e - s for _, s, e, x in rows if x == w) for w in {t[3] for t in rows}}
+        least = min(3000.0, max(1500.0, sum(spoken.values()) * 0.03))
+        stable = [t for t in rows if spoken[t[3]] >= least]
+        assert 0 < len({t[3] for t in stable}) < len(spoken)
+        for _, s, e, who in rows:
+            if spoken[who] < least:
+                who = min((max(a - e, s - b, 0), abs(a + b - s - e), a, b, w) for _, a, b, w in stable)[4]
+            want.append((rec, s, e, who))
+    want = spk.renumber_speakers(spark.createDataFrame(want, TURNS)).select("rec_id", "start_ms", "end_ms", "speaker").collect()
+    df = spark.createDataFrame(turns, TURNS)
+    got = spk.collapse_tiny_speakers(df, chunk_ms=7_000).select("rec_id", "start_ms", "end_ms", "speaker").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    if close == 5_000:
+        plan = spk.collapse_tiny_speakers(df)._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan  # the nearest are made once, before
