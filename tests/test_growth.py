@@ -170,3 +170,50 @@ def test_runs_of_a_row_are_those_of_the_joins(spark):
     rows = ali._with_row_chain(pairs, "original_words", "revised_words").filter("_c IS NOT NULL")
     assert chains == {r.key: (r.a, r.b, r.a_end, r.b_end) for r in ali.heaviest_chain(joined, ["key"]).collect()}
     assert chains == {r.key: tuple(r["_c"]) for r in rows.collect()}
+
+
+def test_folding_is_that_of_python_and_stays_in_the_jvm(spark):
+    import unicodedata
+
+    from segmill.functions.udfs import casefold, casefold_each
+
+    letters = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c").filter("c != ''")
+    folded = letters.select("id", casefold(F.col("c")).alias("f"), casefold_each(F.array("c", F.lit(None)))[0].alias("g"))
+    assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()
+    # Letters that Python does not know yet may fold.
+    known = [r for r in folded.collect() if unicodedata.category(chr(r.id)) != "Cn"]
+    assert len(known) > 280_000 and all(r.f == r.g == chr(r.id).casefold() for r in known)
+    texts = ["ΣΑΣ Straße", "İı", "PLAIN", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, c string").select("id", casefold(F.col("c"))).collect()
+    assert [v for _, v in sorted(rows)] == [t and t.casefold() for t in texts]
+
+
+def test_features_are_made_in_the_jvm_by_one_pattern_a_glossary(spark):
+    """Words with marks, terms in one another, copies, terms of several words, empty ones and none."""
+    from segmill.operators import review as rev
+
+    glossary = ["a", "ab", "AB", "ab cd", "x.y", "(", "", None, "Straße", "-go-", "tail\n", "c++"]
+    texts = ["a AB abc ab. cd ab cd", "x.y (x.y) xy", "STRASSE straße", "go Go- go-x rare the it", "c++ c tail\n tail", None, "", "?"]
+    columns = "rec_id string, seg_idx int, start_ms bigint, end_ms bigint, text string, glossary array<string>"
+    rows = [(rec, k, 0, 1000, text, terms) for rec, terms in (("r", glossary), ("s", []), ("t", None)) for k, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, columns)
+    made = rev.segment_features(df).select("rec_id", "seg_idx", "glossary_hits", "unknown_latin")
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    none = F.array().cast("array<string>")
+    terms = rev.casefold_each(F.filter(F.coalesce("glossary", none), F.isnotnull))
+    plain = df.select(
+        "rec_id", "seg_idx", rev.glossary_hits(rev.casefold(F.col("text")), terms), F.size(rev.unknown_latin(F.col("text"), F.col("glossary")))
+    )
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, plain.collect()))
+    assert {(r.rec_id, r.seg_idx): r.glossary_hits for r in made.collect()}["r", 0] == 9
+
+
+def test_a_figure_is_made_once_for_all_conditions_on_it(spark):
+    from segmill.operators import review as rev
+
+    rows = [("r", k, 0, 1000, f"t{k}", [-k / 10.0, float("nan"), None]) for k in range(9)] + [("s", 0, 0, 9, "x", [])]
+    df = spark.createDataFrame(rows, "rec_id string, seg_idx int, start_ms bigint, end_ms bigint, text string, logprobs array<double>")
+    summary = rev.confidence_summary(df)
+    assert _plan(summary.filter("seg_idx > 3")).count("aggregate(") == 1
+    for few in (100, 2):
+        assert [tuple(r) for r in rev.low_confidence_threshold(summary, buckets=4, few=few).collect()] == [("r", -0.7)]
