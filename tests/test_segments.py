@@ -138,3 +138,19 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         write_files(rows, str(tmp_path / "out"))
     assert not list((tmp_path / "out").glob("part-*")) and not (tmp_path / "out" / "_SUCCESS").exists()
+
+
+def test_the_driver_lists_folders_not_files(spark, tmp_path):
+    from segmill.sinks.files import read_files, write_files
+
+    place = str(tmp_path / "out")
+    for job in range(2):
+        rows = spark.range(40 * job, 40 * job + 40, 1, 3).selectExpr("CAST(id AS STRING) || '.txt' AS name", "repeat('é\\r\\n', CAST(id AS INT)) AS content")
+        write_files(rows, place, "append")
+    (tmp_path / "out" / "_attempts-x" / "part-0").mkdir(parents=True)
+    (tmp_path / "out" / "_attempts-x" / "part-0" / "torn.txt").write_text("torn")
+    read = read_files(spark, place)
+    assert read.inputFiles() == [] and read.rdd.getNumPartitions() == 6
+    assert sorted(map(tuple, read.collect())) == sorted((f"{k}.txt", "é\r\n" * k) for k in range(80))
+    write_files(spark.createDataFrame([], "name string, content string"), str(tmp_path / "none"))
+    assert read_files(spark, str(tmp_path / "none")).count() == 0
