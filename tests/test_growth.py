@@ -217,3 +217,33 @@ def test_a_figure_is_made_once_for_all_conditions_on_it(spark):
     assert _plan(summary.filter("seg_idx > 3")).count("aggregate(") == 1
     for few in (100, 2):
         assert [tuple(r) for r in rev.low_confidence_threshold(summary, buckets=4, few=few).collect()] == [("r", -0.7)]
+
+
+def test_caption_texts_move_once(spark):
+    """Cues are sent to their chunk, and not at all where they lie by their recording; chunks of any size agree."""
+    import random
+
+    from segmill.operators import captions as cap
+
+    rng, rows = random.Random(5), []
+    for rec in range(6):
+        text = "w0"
+        for k in range(200):
+            text = rng.choice([text, text, text, f"{text} w{k}", f"w{k} {rng.random()}", text.split(" ")[0], "", "..."])[-60:]
+            rows.append((f"r{rec}", k, k * 1000, k * 1000 + rng.choice([700, 1010, 5000]), text))
+    columns = "rec_id string, cue_idx int, start_ms bigint, end_ms bigint, text string"
+    cues = spark.createDataFrame(rows, columns)
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = lambda: sum(stages().apply(i).shuffleWriteBytes() for i in range(stages().size()))
+    start = written()
+    dealt = cues.repartition(4, "rec_id")
+    dealt.write.format("noop").mode("overwrite").save()
+    once = written() - start
+    told = sorted(map(tuple, cap.dedupe_rolling_captions(cues).collect()))
+    assert written() - start - once < 1.8 * once and len(told) > 200
+    start = written()
+    assert sorted(map(tuple, cap.dedupe_rolling_captions(spark.createDataFrame(rows, columns).repartition(4, "rec_id")).collect())) == told
+    assert written() - start < 2.6 * once  # the test's own repartition, read twice
+    for size in (1, 3, 50):
+        assert sorted(map(tuple, cap.dedupe_rolling_captions(cues, chunk_rows=size).collect())) == told
+    assert {(r, i) for r, i, *_ in told} == {(f"r{rec}", i) for rec in range(6) for i in range(max(i for r, i, *_ in told if r == f"r{rec}") + 1)}
