@@ -247,3 +247,38 @@ def test_caption_texts_move_once(spark):
     for size in (1, 3, 50):
         assert sorted(map(tuple, cap.dedupe_rolling_captions(cues, chunk_rows=size).collect())) == told
     assert {(r, i) for r, i, *_ in told} == {(f"r{rec}", i) for rec in range(6) for i in range(max(i for r, i, *_ in told if r == f"r{rec}") + 1)}
+
+
+def test_caption_files_are_parsed_once(spark):
+    from segmill.plans.transcripts import caption_transcripts
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        calls.add(1)
+        return text
+
+    cue = "00:00:0{0}.000 --> 00:00:0{1}.500\nword{0} more\n"
+    body = "WEBVTT\n\n" + "\n".join(cue.format(k, k + 1) for k in range(5))
+    files = spark.createDataFrame([(f"r{k}", body) for k in range(7)], "rec_id string, content string").withColumn("content", counted("content"))
+    assert {r.rec_id for r in caption_transcripts(files).collect()} == {f"r{k}" for k in range(7)}
+    assert calls.value == 7
+
+
+def test_plain_times_are_read_and_written_as_any(spark):
+    from segmill.functions.times import PLAIN_TIMING, clock, parse_clock, plain_clock
+
+    ends = ["00:00:01.000", "01:02:03,045", "99:59:59.999", "00:60:00.000", "00:00:60.000", "1:00:01.000", "00:01.000", "00:00:01.5", "٠٠:00:01.000"]
+    lines = spark.createDataFrame([(f"{a} --> {b}", a, b) for a in ends for b in ends], "line string, a string, b string")
+    plain = lines.filter(F.col("line").rlike(PLAIN_TIMING)).select(
+        (plain_clock(F.col("line"), 1).eqNullSafe(parse_clock(F.col("a"))) & plain_clock(F.col("line"), 18).eqNullSafe(parse_clock(F.col("b")))).alias("same")
+    )
+    assert [r.same for r in plain.collect()] == [True] * 25
+    assert lines.filter(F.concat("line", F.lit("\n")).rlike(PLAIN_TIMING)).isEmpty()
+    times = [None, -5, 0, 999, 1000, 61_001, 3_599_999, 36_000_000, 360_000_000, 3_600_000_000_000]
+    got = spark.createDataFrame([(t,) for t in times], "ms bigint").select("ms", clock(F.col("ms")), clock(F.col("ms"), ","))
+    for ms, whole, exact in got.collect():
+        ms = max(ms or 0, 0)
+        assert whole == f"{ms // 3600000:02d}:{ms // 60000 % 60:02d}:{ms // 1000 % 60:02d}" and exact == f"{whole},{ms % 1000:03d}"
+    assert "format_string" not in _plan(got)
