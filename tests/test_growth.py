@@ -282,3 +282,35 @@ def test_plain_times_are_read_and_written_as_any(spark):
         ms = max(ms or 0, 0)
         assert whole == f"{ms // 3600000:02d}:{ms // 60000 % 60:02d}:{ms // 1000 % 60:02d}" and exact == f"{whole},{ms % 1000:03d}"
     assert "format_string" not in _plan(got)
+
+
+def test_normalising_is_that_of_python_and_stays_in_the_jvm(spark):
+    import unicodedata
+
+    from segmill.functions.udfs import nfkc, nfkc_casefold
+
+    letters = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c").filter("c != ''")
+    made = letters.select("id", nfkc(F.col("c")).alias("n"), nfkc_casefold(F.col("c")).alias("f"))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    known = [r for r in made.collect() if unicodedata.category(chr(r.id)) != "Cn"]
+    plain = {r.id: unicodedata.normalize("NFKC", chr(r.id)) for r in known}
+    assert len(known) > 280_000 and all(r.n == plain[r.id] and r.f == plain[r.id].casefold() for r in known)
+    texts = ["é 각 ﬁ ΑΣ", "Ạ̊", "PLAIN", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, c string").select("id", nfkc(F.col("c")), nfkc_casefold(F.col("c"))).collect()
+    normal = [t and unicodedata.normalize("NFKC", t) for t in texts]
+    assert sorted(map(tuple, rows)) == [(i, n, n and n.casefold()) for i, n in enumerate(normal)]
+
+
+def test_pairs_are_made_for_phrases_of_words_only(spark):
+    from segmill.operators import glossary as glo
+
+    texts = spark.createDataFrame([("a", "x y x x z x y z"), ("b", "z"), ("c", ""), (None, "x y z")], "rec_id string, key_text string")
+    hits = lambda *keys: glo.match_phrases(texts, spark.createDataFrame([(k,) for k in keys], "key string"))
+    told = lambda df: sorted(((r.rec_id or "", r.key, r.hits) for r in df.collect()))
+    alone = hits("x", "z", "q")
+    assert told(alone) == [("", "x", 1), ("", "z", 1), ("a", "x", 3), ("a", "z", 2), ("b", "z", 1)]
+    assert _plan(alone).count("posexplode(") == 1
+    assert told(hits("x", "x y")) == [("", "x", 1), ("", "x y", 1), ("a", "x", 3), ("a", "x y", 2)]
+    assert told(hits("x", "x y", "x y z", "x y x x z x y z")) == [
+        ("", "x", 1), ("", "x y", 1), ("a", "x", 3), ("a", "x y", 2), ("a", "x y x x z x y z", 1), ("a", "x y z", 1)
+    ]
