@@ -314,3 +314,15 @@ def test_pairs_are_made_for_phrases_of_words_only(spark):
     assert told(hits("x", "x y", "x y z", "x y x x z x y z")) == [
         ("", "x", 1), ("", "x y", 1), ("a", "x", 3), ("a", "x y", 2), ("a", "x y x x z x y z", 1), ("a", "x y z", 1)
     ]
+
+
+def test_documents_keep_all_partitions_and_their_segments_lie_by_recording(spark, tmp_path):
+    from segmill.plans import views as v
+
+    docs = [(k, f"a b c {k} " * 9, "en", "s", 1) for k in range(50)] + [(None, "x", "en", "s", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    segments = v.segments(spark, str(tmp_path))
+    lie = segments.groupBy("rec_id", F.spark_partition_id().alias("p")).count().groupBy("p").count().collect()
+    assert len(lie) == 4 and sum(r["count"] for r in lie) == 51
+    counted = segments.groupBy("rec_id").count()
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
